@@ -35,8 +35,6 @@ def standard_normal(seed: int, *keys) -> Column:
     return F.sqrt(-2 * F.log(1 - first)) * F.cos(2 * F.pi() * second)
 
 
-def poisson_one(seed: int, *keys) -> Column:
-    """Poisson draw with mean 1: the number of cumulative probabilities at or below a uniform."""
-    steps = F.array(*[F.lit(c) for c in fv.POISSON_ONE_CUMULATIVE])
-    u = uniform(seed, *keys)
-    return F.aggregate(steps, F.lit(0), lambda n, c: n + F.when(u >= c, 1).otherwise(0))
+def poisson_one(u: Column) -> Column:
+    """Poisson draw with mean 1 from a uniform: the number of cumulative probabilities not above it."""
+    return sum((F.when(u >= c, 1).otherwise(0) for c in fv.POISSON_ONE_CUMULATIVE), F.lit(0))

@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from tideline import fixed_values as fv
 from tideline.functions import draws, expr
 from tideline.operators import curate, ranktest
-from tideline.operators.spread import number_at_random
+from tideline.operators.spread import number_at_random, repeat
 
 TRUTH, TEST = "truth", "test"
 
@@ -21,17 +21,13 @@ def positions(curated: DataFrame, stocks: list[str] = fv.STOCKS) -> DataFrame:
     )
 
 
-def _repeat(rows: DataFrame, first: int, last: int) -> DataFrame:
-    return rows.withColumn("rep", F.explode(F.sequence(F.lit(first), F.lit(last))))
-
-
 def sample_one_per_year(rows: DataFrame, replicates: int, seed: int = fv.SEED, first: int = 1) -> DataFrame:
     """One position per individual, area, year and replicate, drawn at random.
 
     The draw is the row with the smallest random key: an aggregate with map-side
     combine, so the rows of one individual are never gathered.
     """
-    keyed = _repeat(rows, first, replicates).withColumn(
+    keyed = repeat(rows, "rep", first, replicates, "row_seq").withColumn(
         "_draw", draws.order_key(seed, "pick", F.col("rep"), F.col("row_seq"))
     )
     return keyed.groupBy("area", "rep", "year", "individual_id").agg(
@@ -47,8 +43,9 @@ def permute_within_year(rows: DataFrame, replicates: int, seed: int = fv.SEED) -
     in one more, numbered 0. The individual at the same place of order 0 is the drawn one.
     """
     picks = sample_one_per_year(rows, replicates, seed, first=0).drop("row_seq")
-    members = _repeat(rows.select("area", "year", "individual_id").distinct(), 0, replicates)
-    order = draws.order_key(seed, "place", *[F.col(c) for c in ("rep", "area", "year", "individual_id")])
+    who = ["area", "year", "individual_id"]
+    members = repeat(rows.select(*who).distinct(), "rep", 0, replicates, *who)
+    order = draws.order_key(seed, "place", *[F.col(c) for c in ("rep", *who)])
     numbered = number_at_random(picks, ["area", "rep", "year"], order, members)
     same_place = Window.partitionBy("area", "year", "position")
     drawn = F.max(F.when(F.col("rep") == 0, F.col("individual_id"))).over(same_place)

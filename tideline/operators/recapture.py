@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 
 from tideline import fixed_values as fv
 from tideline.functions import draws
+from tideline.operators.spread import repeat
 
 
 def individual_years(model_rows: DataFrame) -> DataFrame:
@@ -72,7 +73,7 @@ def _occasion_counts(years: DataFrame, groups: list[str], weight: Column) -> Dat
         total(is_first).alias("u"),
         total(is_last).alias("last"),
         total(is_first & is_last).alias("only"),
-    )
+    ).filter("n > 0")
 
 
 def occasion_statistics(
@@ -215,10 +216,11 @@ def abundance_bootstrap(years: DataFrame, replicates: int, seed: int = fv.SEED)
     Each individual counts a Poisson(1) number of times per replicate, so a resample
     needs no shuffle of individuals: only counts per occasion leave the task.
     """
+    draw = draws.uniform(seed, "bootstrap", F.col("rep"), F.col("area"), F.col("individual_id"))
     resampled = (
-        years.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-        .withColumn("times", draws.poisson_one(seed, "bootstrap", F.col("rep"), F.col("area"), F.col("individual_id")))
-        .filter("times > 0")
+        repeat(years, "rep", 1, replicates, "area", "individual_id")
+        .withColumn("draw", draw)
+        .withColumn("times", draws.poisson_one(F.col("draw")))
     )
     groups = ("area", "rep")
     return jolly_seber(occasion_statistics(resampled, groups, F.col("times")), groups).select(

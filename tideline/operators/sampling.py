@@ -59,9 +59,9 @@ def random_years(
         F.col("n_occasions") > F.col("cohort"), F.sequence(F.col("cohort") + 1, F.col("n_occasions"))
     ).otherwise(F.array().cast("array<bigint>"))
     deaths = F.filter(later, lambda t: draw("survive", t) >= survival)
-    detected = F.filter(
-        later, lambda t: (t < F.coalesce("death", F.col("n_occasions") + 1)) & (draw("detect", t) < detection)
-    )
+    death = F.col("death")
+    years_alive = F.when(death.isNull(), F.col("n_occasions") - F.col("cohort")).otherwise(death - F.col("cohort") - 1)
+    detected = F.filter(F.slice(later, F.lit(1), years_alive.cast("int")), lambda t: draw("detect", t) < detection)
     return (
         individuals.withColumn("death", F.try_element_at(deaths, F.lit(1)))
         .groupBy(stratum, (F.size(detected) + 1).cast("bigint").alias("value"))

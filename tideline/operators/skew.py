@@ -31,7 +31,9 @@ def lookup_join(
     hot = lookup.filter(is_hot).select(
         F.col(key), value.alias("_hot"), F.ceil(F.col(rows) / rows_per_slice).alias("_slices")
     )
-    cold = lookup.filter(~is_hot).select(F.col(key), F.lit(0).cast("bigint").alias("_slice"), value.alias("_cold"))
+    # Always 0 here, but not a literal: the optimizer would drop a literal from the join keys.
+    no_slice = F.floor(F.col(rows) / (rows_per_slice + 1))
+    cold = lookup.filter(~is_hot).select(F.col(key), no_slice.alias("_slice"), value.alias("_cold"))
     dealt = F.when(F.col("_hot").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64(spread_by), F.col("_slices")))
     joined = (
         facts.join(F.broadcast(hot), key, "left")

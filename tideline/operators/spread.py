@@ -10,6 +10,20 @@ BLOCK = 1000
 SLICE_BITS = 8
 
 
+def _tasks(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def repeat(df: DataFrame, name: str, first: int, last: int, *keys: str) -> DataFrame:
+    """Repeat every row of a large table for ``name`` = ``first`` .. ``last``.
+
+    The rows are first dealt to a fixed number of tasks by ``keys``, which tell rows
+    apart: their size before repeating says nothing about the work after it, so
+    neither file splits nor adaptive merging may decide.
+    """
+    return df.repartition(_tasks(df), *keys).withColumn(name, F.explode(F.sequence(F.lit(first), F.lit(last))))
+
+
 def explode_range(df: DataFrame, name: str, last: Column | int, block: int = BLOCK) -> DataFrame:
     """Repeat each row for ``name`` = 1 .. ``last`` (none for zero or null).
 
@@ -17,7 +31,6 @@ def explode_range(df: DataFrame, name: str, last: Column | int, block: int = BLO
     rows do not expand inside a few tasks.
     """
     last = F.lit(last) if isinstance(last, int) else last
-    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     blocks = (
         df.withColumn("_last", last.cast("bigint"))
         .filter("_last > 0")
@@ -26,7 +39,7 @@ def explode_range(df: DataFrame, name: str, last: Column | int, block: int = BLO
         .withColumn("_to", F.least("_last", F.col("_block") * block + block))
     )
     return (
-        blocks.repartition(tasks)
+        blocks.repartition(_tasks(df))
         .withColumn(name, F.explode(F.sequence("_from", "_to")))
         .drop("_last", "_block", "_from", "_to")
     )

@@ -571,6 +571,15 @@ def oracle_sql() -> dict[str, str]:
         "mean_growth": f"SELECT stock, {r6('avg(rate_percent)', 'mean_growth')} FROM growth GROUP BY stock",
         "trend_slope": f"""SELECT stock, {r6('regr_slope(n_hat, year)', 'slope')},
             {r6('regr_intercept(n_hat, year)', 'intercept')} FROM est GROUP BY stock""",
+        "abundance_draws": f"""
+            , z AS (SELECT stock, year, rep, {normal("'trend'", "stock", "rep", "year")} AS z
+                FROM est, unnest(range(1, 51)) r(rep)),
+              g AS (SELECT stock, year, coalesce(sqrt(1 - power(0.25,
+                year - lag(year) OVER (PARTITION BY stock ORDER BY year))), 1) AS fresh FROM est)
+            SELECT e.stock, z.rep, e.year,
+              {r6('any_value(e.n_hat) + sum(e.se * power(0.5, e.year - z.year) * g.fresh * z.z)', 'n_hat')}
+            FROM est e JOIN z ON z.stock = e.stock AND z.year <= e.year
+            JOIN g ON g.stock = z.stock AND g.year = z.year GROUP BY e.stock, z.rep, e.year""",
         "trend_interval_stock": _interval("lines", "stock"),
         "trend_interval_pooled": _interval("pooled"),
         "common_years": """SELECT count(*) AS years FROM (SELECT year FROM est GROUP BY year
