@@ -95,3 +95,17 @@ def test_permutation_keeps_individuals_of_each_year(spark, sf_dir):
     assert any(r.individual_id != r.drawn_id for r in got)
     by_rep = {rep: {(r.area, r.year, r.individual_id): r.drawn_id for r in got if r.rep == rep} for rep in (1, 2)}
     assert by_rep[1].keys() == by_rep[2].keys() and by_rep[1] != by_rep[2]
+
+
+def test_kept_tables_give_the_same_reports(spark, sf_dir, tmp_path):
+    lazy, kept = study(spark, sf_dir), study(spark, sf_dir)
+    kept.keep = True
+    before = spark.conf.get("spark.checkpoint.dir", None)
+    if before is None:
+        spark.conf.set("spark.checkpoint.dir", str(tmp_path))
+    try:
+        got, again = kept.jolly_seber().collect(), kept.individual_years()
+    finally:
+        if before is None:
+            spark.conf.unset("spark.checkpoint.dir")
+    assert again.inputFiles() and sorted(map(str, got)) == sorted(map(str, lazy.jolly_seber().collect()))

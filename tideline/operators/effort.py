@@ -54,6 +54,7 @@ def sightings_per_individual(curated: DataFrame, *groups: str) -> DataFrame:
 
 def _median_sightings(curated: DataFrame, *groups: str) -> DataFrame:
     # The exact median is taken over the frequency table: one entry per distinct count.
+    # k distinct counts need k (k + 1) / 2 rows, so a group has few entries.
     return (
         sightings_per_individual(curated, *groups)
         .groupBy(*groups)

@@ -205,9 +205,8 @@ def _(s: Study) -> DataFrame:
 
 @on_study("seen_once_count")
 def _(s: Study) -> DataFrame:
-    return effort.seen_once_count(s.sightings()).crossJoin(
-        effort.seen_once_count(s.curated()).withColumnRenamed("individuals_seen_once", "curated_seen_once")
-    )
+    in_curated = effort.seen_once_count(s.curated()).scalar()
+    return effort.seen_once_count(s.sightings()).withColumn("curated_seen_once", in_curated)
 
 
 @on_study("period_totals")
@@ -482,8 +481,8 @@ def _(s: Study) -> DataFrame:
 @on_study("parameter_ranges")
 def _(s: Study) -> DataFrame:
     photos = proportion.yearly_summary(proportion.good_photos_by_encounter(s.encounter_counts()), "propgood")
-    percent = photos.agg((F.avg("mean") * 100).alias("good_photo_percent"))
-    return recapture.parameter_ranges(s.jolly_seber()).crossJoin(F.broadcast(percent))
+    percent = photos.agg(F.avg("mean") * 100).scalar()
+    return recapture.parameter_ranges(s.jolly_seber()).withColumn("good_photo_percent", percent)
 
 
 @on_study("derived_abundance")

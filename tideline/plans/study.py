@@ -10,20 +10,24 @@ from pyspark.sql import functions as F
 
 from tideline import fixed_values as fv
 from tideline.operators import curate, effort, proportion, recapture
+from tideline.sources.sinks import written
 
 
 @dataclass
 class Study:
     """``load`` returns the sightings; its argument says whether ``sight_type`` is needed.
 
-    Every method returns a lazy table over all strata. For several reports on a large
-    table, write ``stratified()`` out once and build the later steps on the copy.
+    Every method returns a lazy table over all strata. With ``keep``, the tables that
+    several reports need are written once to the folder of ``spark.checkpoint.dir`` and
+    read from there.
     """
 
     load: Callable[[bool], DataFrame]
     first_year: int = fv.FIRST_YEAR
     last_year: int = fv.LAST_YEAR
     skew: dict = field(default_factory=dict)
+    keep: bool = False
+    _kept: dict = field(default_factory=dict, repr=False)
 
     @classmethod
     def of(cls, sightings: DataFrame, **options) -> Study:
@@ -38,11 +42,21 @@ class Study:
     def strata(self) -> DataFrame:
         return curate.individual_strata(self.load(False))
 
+    def _once(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        if not self.keep:
+            return build()
+        if name not in self._kept:
+            self._kept[name] = written(build())
+        return self._kept[name]
+
     def stratified(self, types: bool = False) -> DataFrame:
-        return curate.stratify(self.curated(types), self.strata(), **self.skew)
+        types = types or self.keep
+        return self._once("stratified", lambda: curate.stratify(self.curated(types), self.strata(), **self.skew))
 
     def individual_years(self) -> DataFrame:
-        return recapture.individual_years(curate.model_sightings(self.stratified()))
+        return self._once(
+            "individual_years", lambda: recapture.individual_years(curate.model_sightings(self.stratified()))
+        )
 
     def encounter_counts(self) -> DataFrame:
         return proportion.encounter_counts(self.load(False))

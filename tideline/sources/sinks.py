@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
 from pyspark.sql import DataFrame
 
@@ -17,3 +18,18 @@ def write_dated_csv(df: DataFrame, folder: str, prefix: str, day: dt.date | None
     path = f"{folder}/{dated_name(prefix, day)}"
     df.write.mode("overwrite").csv(path, header=True)
     return path
+
+
+def written(df: DataFrame) -> DataFrame:
+    """Write a table under the shared folder of ``spark.checkpoint.dir`` and read it back.
+
+    This cuts the lineage of a table that several jobs read; a lost executor then costs
+    a read, not a recomputation. The folder has to be set on the session.
+    """
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    path = f"{folder}/tideline-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
