@@ -213,7 +213,8 @@ def rank_sum(source: str, x: str, y: str, stratum: str, alternative: str) -> str
         rk AS (SELECT *, sum(t) OVER (PARTITION BY s ORDER BY value) - t + (t + 1) / 2 AS mid FROM v),
         st AS (SELECT s, sum(nx) AS m, sum(t) - sum(nx) AS k, sum(nx * mid) - sum(nx) * (sum(nx) + 1) / 2 AS w,
           sum(t * t * t - t) AS ties, sum(t) AS total FROM rk GROUP BY s),
-        zt AS (SELECT *, (w - m * k / 2 - {shift}) / sqrt(m * k / 12 * (total + 1 - ties / (total * (total - 1)))) AS zz
+        zt AS (SELECT *, (w - m * k / 2 - {shift})
+          / nullif(sqrt(m * k / 12 * (total + 1 - ties / nullif(total * (total - 1), 0))), 0) AS zz
           FROM st),
         bt AS (SELECT *, {NORMAL_CDF} AS below FROM zt),
         pt AS (SELECT *, {p} AS p_value FROM bt)
