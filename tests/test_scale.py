@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tideline.functions import draws
-from tideline.operators import curate, models, movement, spread
+from tideline.operators import curate, effort, models, movement, recapture, spread
 from tideline.operators.skew import lookup_join
 from tideline.plans.queries import study
+from tideline.plans.study import Study
 from tideline.sources import orders_as_sightings as source
+from tideline.sources.sightings import read_table
 
 
 def facts(spark):
@@ -109,3 +111,29 @@ def test_kept_tables_give_the_same_reports(spark, sf_dir, tmp_path):
         if before is None:
             spark.conf.unset("spark.checkpoint.dir")
     assert again.inputFiles() and sorted(map(str, got)) == sorted(map(str, lazy.jolly_seber().collect()))
+
+
+def test_filters_and_columns_reach_the_scan(spark, sf_dir, tmp_path):
+    raw = study(spark, sf_dir).sightings(types=True)
+    raw.write.parquet(f"{tmp_path}/sightings")
+    s = Study.of(read_table(spark, f"{tmp_path}/sightings"), first_year=1996, last_year=2001)
+    spark.conf.set("spark.sql.maxMetadataStringLength", "10000")
+    plan = effort.annual_sightings(s.curated())._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    scan = next(line for line in plan.splitlines() if "FileScan parquet" in line)
+    for pushed in ("GreaterThanOrEqual(distinctiveness,3)", "LessThan(depth_m,3000.0)", "EqualTo(entry_status,complete)"):
+        assert pushed in scan
+    assert "In(area" in scan and "GreaterThanOrEqual(year,1996)" in scan
+    read = scan.split("ReadSchema")[1]
+    assert not any(unread in read for unread in ("sight_date", "encounter_id", "source", "sight_type", "lat:"))
+    assert effort.annual_sightings(s.curated()).count() == effort.annual_sightings(study(spark, sf_dir).curated()).count()
+
+
+def test_reused_exchange_of_individual_years(spark, sf_dir):
+    """Goodness of fit reads the individuals once: every later use is a reused exchange."""
+    df = recapture.overdispersion(study(spark, sf_dir).individual_years())
+    df.collect()
+    final = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    made = [x for x in final.splitlines() if "Exchange hashpartitioning(area" in x and "individual_id" in x]
+    assert len([x for x in made if "ReusedExchange" not in x]) == 1
+    assert len([x for x in made if "ReusedExchange" in x]) >= 2

@@ -38,6 +38,11 @@ def corrected_abundance(estimates: DataFrame, theta: DataFrame, annual: DataFram
     return result.join(annual.withColumnRenamed("area", "stock"), ["stock", "year"], "left")
 
 
+def as_estimates(corrected: DataFrame) -> DataFrame:
+    """Corrected abundance in the columns of an estimates table, to draw trends from it instead."""
+    return corrected.select("stock", "year", F.col("n_i").alias("n_hat"), F.col("second").alias("se"))
+
+
 def annual_growth(abundance: DataFrame, value: str = "n_i") -> DataFrame:
     """Yearly growth in percent of the current year's value."""
     by_year = Window.partitionBy("stock").orderBy("year")
