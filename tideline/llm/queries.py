@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tideline.llm import langid, mixing, neardup, sentencepiece, toxicity
+from tideline.llm import forest, langid, mixing, neardup, sentencepiece, topk, toxicity
 from tideline.llm.common import fold
 
 
@@ -40,6 +41,10 @@ def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.grouped(_table(spark, sf_dir, "documents"), percent=85)
 
 
+def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(_table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, k=5)
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return langid.identified(docs, langid.fit(docs)).select(
@@ -47,5 +52,9 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest.search(_table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, k=10)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: call for name, call in globals().items() if name.startswith("op") and callable(call)}
