@@ -8,7 +8,8 @@ another one of higher priority, or of the same and a longer or earlier one, is s
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import json
+from dataclasses import asdict, dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -108,15 +109,9 @@ def rules() -> list[Rule]:
 
 
 def _literal(found: list[Rule]) -> Column:
-    return F.array(
-        *[
-            F.struct(
-                F.lit(f" {r.keyword} ").alias("keyword"), F.lit(r.pattern).alias("pattern"), F.lit(r.label).alias("label"),
-                F.lit(r.name).alias("rule"), F.lit(r.priority).alias("priority"), F.lit(k).alias("place"),
-            )
-            for k, r in enumerate(found)
-        ]
-    )
+    rows = [asdict(r) | {"keyword": f" {r.keyword} ", "place": k} for k, r in enumerate(found)]
+    shape = "array<struct<keyword:string,pattern:string,label:string,name:string,priority:int,place:int>>"
+    return F.from_json(F.lit(json.dumps(rows)), shape)
 
 
 def _words_in(text: Column) -> Column:
@@ -127,24 +122,36 @@ def _words_in(text: Column) -> Column:
 def _detections(normal: Column, own: Column) -> Column:
     """All matches of the rules whose keyword occurs: first and last word of each, counted from 0."""
 
-    def of(rule: Column) -> Column:
-        texts = F.regexp_extract_all(normal, rule["pattern"], F.lit(0))
-        gaps = F.split(normal, rule["pattern"], -1)
+    # First the matches of each rule and the gaps between them, then the numbers made of both.
+    matched = F.filter(
+        F.transform(
+            F.filter(own, lambda r: F.contains(normal, r["keyword"])),
+            lambda r: F.struct(
+                r.alias("rule"),
+                F.regexp_extract_all(normal, r["pattern"], F.lit(0)).alias("texts"),
+                F.split(normal, r["pattern"], -1).alias("gaps"),
+            ),
+        ),
+        lambda m: F.size(m["texts"]) > 0,
+    )
+
+    def of(m: Column) -> Column:
+        rule = m["rule"]
         # Words before the k-th match: those of the gaps and matches before it.
         return F.transform(
-            texts,
+            m["texts"],
             lambda text, k: F.struct(
                 (
-                    F.aggregate(F.slice(gaps, F.lit(1), k + 1), F.lit(0), lambda n, gap: n + _words_in(gap))
-                    + F.aggregate(F.slice(texts, F.lit(1), k), F.lit(0), lambda n, t: n + _words_in(t))
+                    F.aggregate(F.slice(m["gaps"], F.lit(1), k + 1), F.lit(0), lambda n, gap: n + _words_in(gap))
+                    + F.aggregate(F.slice(m["texts"], F.lit(1), k), F.lit(0), lambda n, t: n + _words_in(t))
                 ).cast("bigint").alias("first"),
                 _words_in(text).cast("bigint").alias("words"),
-                rule["label"].alias("label"), rule["rule"].alias("rule"),
+                rule["label"].alias("label"), rule["name"].alias("rule"),
                 rule["priority"].alias("priority"), rule["place"].alias("place"),
             ),
         )
 
-    return F.flatten(F.transform(F.filter(own, lambda r: F.contains(normal, r["keyword"])), of))
+    return F.flatten(F.transform(matched, of))
 
 
 def _unsuppressed(found: Column) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import forest, langid, mixing, neardup, sentencepiece, topk, toxicity
+from tideline.llm import forest, langid, licenses, mixing, neardup, sentencepiece, topk, toxicity
 from tideline.llm.common import fold
 
 
@@ -52,6 +52,10 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.digests(_table(spark, sf_dir, "documents"))
+
+
 def op9_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forest.search(_table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, k=10)
 
