@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import forest, langid, licenses, mixing, neardup, sentencepiece, topk, toxicity
+from tideline.llm import forest, langid, licenses, mixing, neardup, sentencepiece, topk, toxicity, urlfilter
 from tideline.llm.common import fold
 
 
@@ -60,5 +60,10 @@ def op9_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forest.search(_table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, k=10)
 
 
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = urlfilter.judged(_table(spark, sf_dir, "pages"), urlfilter.RULES)
+    return found.select("page_id", "host", "path", "rule", "verdict")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: call for name, call in globals().items() if name.startswith("op") and callable(call)}
