@@ -91,3 +91,35 @@ def fresh_name(columns: list[str], wanted: str) -> str:
     while wanted.lower() in taken:
         wanted = f"_{wanted}"
     return wanted
+
+
+_STEP = np.uint64(0xD6E8FEB86659FD93)
+_BACK = np.uint64(pow(int(_STEP), -1, 1 << 64))
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """64-bit numbers scattered one to one."""
+    with np.errstate(over="ignore"):
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def hashed_words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of a run of texts, and the first word of each text (n + 1 entries).
+
+    Words are runs of other bytes than blanks (0x20, 0x09 to 0x0D), with A-Z lower-cased.
+    """
+    n = len(offsets) - 1
+    text = np.full(len(raw) + n + 1, 32, np.uint8)
+    text[np.arange(len(raw)) + np.repeat(np.arange(1, n + 1), np.diff(offsets))] = lowered(raw)
+    blank = (text == 32) | ((text >= 9) & (text <= 13))
+    begin = np.flatnonzero(~blank[1:] & blank[:-1]) + 1
+    end = np.flatnonzero(blank[1:] & ~blank[:-1]) + 1
+    with np.errstate(over="ignore"):
+        # A word's bytes are the digits of a number to a 64-bit base, read off running sums.
+        powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(text), _STEP)]))
+        backs = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(text), _BACK)]))
+        sums = np.concatenate([[np.uint64(0)], np.cumsum((text.astype(np.uint64) + np.uint64(1)) * powers[:-1])])
+        word = mixed((sums[end] - sums[begin]) * backs[begin] + (end - begin).astype(np.uint64) * _STEP)
+    return word, np.searchsorted(begin, offsets + np.arange(n + 1))

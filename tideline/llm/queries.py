@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import forest, langid, licenses, mixing, neardup, sentencepiece, topk, toxicity, urlfilter
+from tideline.llm import forest, langid, licenses, lm, mixing, neardup, sentencepiece, topk, toxicity, urlfilter
 from tideline.llm.common import fold
 
 
@@ -45,6 +45,10 @@ def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(_table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, k=5)
 
 
+def op6_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.scored(_table(spark, sf_dir, "documents"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return langid.identified(docs, langid.fit(docs)).select(
