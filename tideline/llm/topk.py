@@ -124,7 +124,7 @@ def search(
         width = f"(cast((cast(high as decimal(20)) - low) div {BINS} as bigint) + 1)"
         found = place.select(
             "id",
-            F.expr(f"low + bin * {width}").alias("low_"),
+            F.expr(f"cast(cast(low as decimal(38)) + cast(bin as decimal(20)) * {width} as bigint)").alias("low_"),
             F.expr(f"cast(least(cast(high as decimal(38)), low + cast(bin + 1 as decimal(20)) * {width} - 1) as bigint)").alias("high_"),
             (F.col("need") - F.col("upto") + F.col("n")).alias("need_"),
         )
