@@ -6,8 +6,10 @@ import compare
 import pytest
 
 import __spark_entry__ as entry
+from tideline.plans import oracle
+from tideline.plans.queries import queries as registered
 
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+QUERIES, SQL = registered(), oracle.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -17,6 +19,8 @@ def con(sf_dir):
 
 def test_every_query_has_sql():
     assert set(QUERIES) == set(SQL)
+    assert set(QUERIES) <= set(entry.queries())
+    assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))

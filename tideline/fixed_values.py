@@ -81,9 +81,10 @@ LARGE_CURVE_SIGHT = 125
 # Models at or below this weight are not reported.
 MIN_MODEL_WEIGHT = 0.0001
 
-# Cumulative Poisson(1) probabilities for 0, 1, 2, ... events.
+# Cumulative Poisson(1) probabilities for 0, 1, 2, ... events. A uniform of 32 bits is at most
+# 1 - 2 ** -32, which the last one does not leave below 12, so that 12 events are the most there are.
 POISSON_ONE_CUMULATIVE = [
     0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462,
     0.9963401531726563, 0.9994058151824183, 0.999916758850712, 0.9999897508033253,
-    0.999998874797402, 0.9999998885745217, 0.9999999899522336,
+    0.999998874797402, 0.9999998885745217, 0.9999999899522336, 0.9999999991683892,
 ]

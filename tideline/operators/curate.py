@@ -85,42 +85,63 @@ def curated_sightings(
     return repair_sight_types(rows) if "sight_type" in rows.columns else rows
 
 
-def _first_rows(sightings: DataFrame) -> DataFrame:
-    """Per individual: its first located row by (year, row order), and its rows in scope.
+ROW_BITS = 47
+LAST_OF_ALL = 32767
 
-    One aggregate with map-side combine, so no task sees all rows of an individual.
+
+def by_year_and_order() -> Column:
+    """One number in the order of (year, row order), rows without a year last.
+
+    Row numbers above 47 bits raise an error.
     """
-    scope = repair_labels(sightings.filter(in_stock_area() & shallow() & outside_excluded_place()))
-    rest = [c for c in scope.columns if c not in ("individual_id", "year", "row_seq", "lon")]
-    row = F.struct(
-        F.col("year").isNull().alias("no_year"),
-        "year",
-        "row_seq",
-        expr.west_longitude(F.col("lon")).alias("lon"),
-        *rest,
-    )
-    return scope.groupBy("individual_id").agg(
-        F.min(F.when(located() & not_windward(), row)).alias("first"), F.count("*").alias("scope_rows")
+    fits = F.col("row_seq").between(0, (1 << ROW_BITS) - 1)
+    row = F.when(fits, F.col("row_seq")).otherwise(
+        F.raise_error(F.lit(f"row_seq is outside of 0 to 2 ** {ROW_BITS} - 1")).cast("bigint")
     )
+    return F.coalesce(F.col("year"), F.lit(LAST_OF_ALL)).cast("bigint") * (1 << ROW_BITS) + row
+
+
+def _in_scope(sightings: DataFrame) -> DataFrame:
+    """Rows that can place an individual, with their order if they are located."""
+    scope = repair_labels(sightings.filter(in_stock_area() & shallow() & outside_excluded_place()))
+    first = F.when(located() & not_windward(), by_year_and_order())
+    return scope.withColumn("first", first).withColumn("lon", expr.west_longitude(F.col("lon")))
 
 
 def first_located(sightings: DataFrame) -> DataFrame:
-    """The first located row of each individual, whatever its quality, completeness or year."""
-    firsts = _first_rows(sightings).filter(F.col("first").isNotNull())
-    return firsts.select(
-        *["individual_id" if c == "individual_id" else F.col(f"first.{c}").alias(c) for c in sightings.columns]
-    )
+    """The first located row of each individual, whatever its quality, completeness or year.
+
+    The rows are found by an aggregate of numbers and joined back on their own number, so no
+    task sees all rows of an individual and none is sorted for it.
+    """
+    scope = _in_scope(sightings)
+    firsts = scope.groupBy("individual_id").agg(F.min("first").alias("first")).select("first")
+    return scope.join(firsts, "first", "left_semi").select(*sightings.columns)
 
 
 def individual_strata(sightings: DataFrame) -> DataFrame:
-    """Subarea of each individual in scope, null where unknown, with its number of rows in scope."""
+    """Subarea of each individual in scope, null where unknown, with its number of rows in scope.
+
+    Subareas are aggregated as the places of their labels, numbers of a fixed width.
+    """
+    labels = F.array(*map(F.lit, [*fv.SUBAREAS, fv.NO_SUBAREA]))
+    label = expr.subarea(F.col("area"), F.col("lat"), F.col("lon"))
     needed = ["row_seq", "individual_id", "year", "area", "island", "lat", "lon", "depth_m"]
-    firsts = _first_rows(sightings.select(*needed))
-    return firsts.select(
-        "individual_id",
-        expr.subarea(F.col("first.area"), F.col("first.lat"), F.col("first.lon")).alias("subarea"),
-        F.col("first").isNotNull().alias("has_location"),
-        "scope_rows",
+    return (
+        _in_scope(sightings.select(*needed))
+        .withColumn("place", F.array_position(labels, label).cast("int"))
+        .groupBy("individual_id")
+        .agg(
+            F.min_by("place", "first").alias("place"),
+            F.count("first").alias("located_rows"),
+            F.count("*").alias("scope_rows"),
+        )
+        .select(
+            "individual_id",
+            F.when(F.col("located_rows") > 0, F.get(labels, F.col("place") - 1)).alias("subarea"),
+            (F.col("located_rows") > 0).alias("has_location"),
+            "scope_rows",
+        )
     )
 
 
@@ -202,11 +223,5 @@ def rows_from_pwf(curated: DataFrame) -> DataFrame:
 
 def seen_once(sightings: DataFrame) -> DataFrame:
     """The rows of individuals that have exactly one row."""
-    rest = [c for c in sightings.columns if c != "individual_id"]
-    return (
-        sightings.groupBy("individual_id")
-        .agg(F.count("*").alias("n"), F.min(F.struct(*rest)).alias("row"))
-        .filter("n = 1")
-        .select("individual_id", "row.*")
-        .select(*sightings.columns)
-    )
+    once = sightings.groupBy("individual_id").agg(F.count("*").alias("rows")).filter("rows = 1").select("individual_id")
+    return sightings.join(once, "individual_id", "left_semi")

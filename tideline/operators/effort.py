@@ -95,13 +95,10 @@ def subarea_individuals(stratified: DataFrame) -> DataFrame:
 
 
 def _first_row_of_encounters(stratified: DataFrame) -> DataFrame:
-    """Per encounter its first row in file order, as a map-side combinable aggregate."""
-    return (
-        stratified.filter(F.col("subarea").isNotNull())
-        .groupBy("encounter_id")
-        .agg(F.min(F.struct("row_seq", "area", "subarea", "year", "source")).alias("first"))
-        .select(F.col("first.area").alias("stock"), "first.subarea", "first.year", "first.source")
-    )
+    """Per encounter its first row in file order: the least row number, joined back."""
+    rows = stratified.filter(F.col("subarea").isNotNull())
+    firsts = rows.groupBy("encounter_id").agg(F.min("row_seq").alias("row_seq")).select("row_seq")
+    return rows.join(firsts, "row_seq", "left_semi").select(F.col("area").alias("stock"), "subarea", "year", "source")
 
 
 def _source_counts() -> list:

@@ -10,15 +10,19 @@ from tideline.functions import expr
 from tideline.operators.skew import lookup_join
 
 
+FIT = ["stock", "model_id", "npar", "neg2lnl", "n_eff", "chat"]
+
+
 def model_weights(models: DataFrame, **skew) -> DataFrame:
-    """Criterion, difference from the best and weight of each model within its stock.
+    """Criterion, difference from the best and weight of each model within its stock, one row per model.
 
+    The table may have a row per model and parameter; what describes the fit is the same in all of them.
     The criterion is corrected for over-dispersion where ``chat`` is above 1. The
     stock's best value and its weight sum come from two aggregates, so the models of
     one stock are never gathered.
     """
     k, c = F.col("npar").cast("double"), F.greatest("chat", F.lit(1.0))
-    scored = models.withColumn(
+    scored = models.select(*FIT).distinct().withColumn(
         "qaicc", F.col("neg2lnl") / c + 2 * k + F.try_divide(2 * k * (k + 1), F.col("n_eff") - k - 1)
     )
     best = scored.groupBy("stock").agg(F.min("qaicc").alias("best"), F.count("*").alias("rows"))
@@ -49,9 +53,14 @@ def model_table(weighted: DataFrame, label_weights: bool = False) -> DataFrame:
     )
 
 
-def model_average(weighted: DataFrame, **skew) -> DataFrame:
-    """Weighted estimate per stock and parameter, with a standard error that includes model spread."""
-    keyed = weighted.withColumn("what", F.struct("stock", "parameter"))
+def model_average(models: DataFrame, **skew) -> DataFrame:
+    """Weighted estimate per stock and parameter, with a standard error that includes model spread.
+
+    ``models`` has one row per stock, model and parameter; each model's weight goes to all its parameters.
+    """
+    weights = model_weights(models, **skew).select("stock", "model_id", "weight")
+    parameters = models.select("stock", "model_id", "parameter", "estimate", "se")
+    keyed = parameters.join(weights, ["stock", "model_id"]).withColumn("what", F.struct("stock", "parameter"))
     averages = keyed.groupBy("what").agg(
         F.sum(F.col("weight") * F.col("estimate")).alias("average"), F.count("*").alias("rows")
     )

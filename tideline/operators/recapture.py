@@ -45,7 +45,7 @@ def occasion_gaps(years: DataFrame) -> DataFrame:
 
 def capture_histories(years: DataFrame) -> DataFrame:
     """One text of 0s and 1s per individual, in the order of its area's occasions."""
-    with_occasions = years.join(F.broadcast(occasions(years)), "area")
+    with_occasions = years.join(occasions(years), "area")
     marks = F.transform("occasions", lambda y: F.when(F.array_contains("years", y), "1").otherwise("0"))
     return with_occasions.select("area", "individual_id", "subarea", F.array_join(marks, "").alias("history"))
 
@@ -140,7 +140,7 @@ def overdispersion(years: DataFrame) -> DataFrame:
 
     fates = (
         occasion_statistics(years)
-        .join(F.broadcast(in_area), "area")
+        .join(in_area, "area")
         .filter(index("year").between(2, F.col("t") - 1))
         .select(
             "area",
@@ -152,7 +152,7 @@ def overdispersion(years: DataFrame) -> DataFrame:
     )
     spans = (
         m_array(years)
-        .join(F.broadcast(in_area), "area")
+        .join(in_area, "area")
         .select("area", "t", "individuals", index("release_year").alias("k"), index("next_year").alias("j"))
         .withColumn("i", F.explode(F.sequence("k", F.col("j") - 1)))
         .filter(F.col("i").between(2, F.col("t") - 2))

@@ -19,12 +19,13 @@ from tideline.operators.spread import explode_range
 def corrected_abundance(estimates: DataFrame, theta: DataFrame, annual: DataFrame | None = None) -> DataFrame:
     """Abundance divided by the share of distinctive individuals, with a log-normal interval.
 
-    ``theta`` has at most one row per stock. ``annual`` adds sightings and individuals.
+    ``theta`` has at most one row per stock; a stock without one keeps its rows, with nulls. ``annual`` adds
+    sightings and individuals.
     """
     n, se, t, tv = (F.col(c) for c in ("n_hat", "se", "theta", "theta_var"))
     c_burn = F.exp(1.96 * F.sqrt(F.log(1 + F.pow("cvcond", F.lit(2.0)))))
     result = (
-        estimates.join(F.broadcast(theta), "stock")
+        estimates.join(theta, "stock", "left")
         .withColumn("n_i", n / t)
         .withColumn("varcond", se * se / (t * t) + tv * (n * n / F.pow(t, F.lit(4.0))))
         .withColumn("second", F.sqrt("varcond"))
@@ -142,8 +143,9 @@ def trend_interval_stock(abundance: DataFrame) -> DataFrame:
 
 
 def _years_of_all_stocks(rows: DataFrame, estimates: DataFrame, *groups: str) -> DataFrame:
-    n_stocks = estimates.agg(F.countDistinct("stock")).scalar()
-    return rows.groupBy(*groups, "year").agg(F.sum("n_hat").alias("n_hat"), F.count("*").alias("stocks")).filter(
+    # A year without an estimate of a stock, or with a null one, is not a year of all stocks.
+    n_stocks = estimates.agg(F.countDistinct(F.when(F.col("n_hat").isNotNull(), F.col("stock")))).scalar()
+    return rows.groupBy(*groups, "year").agg(F.sum("n_hat").alias("n_hat"), F.count("n_hat").alias("stocks")).filter(
         F.col("stocks") == n_stocks
     )
 

@@ -510,7 +510,7 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @on_tables("model_average")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return models.model_average(models.model_weights(source.model_fits(spark, sf_dir)))
+    return models.model_average(source.model_fits(spark, sf_dir))
 
 
 @on_tables("report_survival")

@@ -21,7 +21,7 @@ def model_selection(fits: DataFrame, **skew) -> DataFrame:
 
 def survival(fits: DataFrame, **skew) -> DataFrame:
     """Table 3: model-averaged survival per stock."""
-    averages = models.model_average(models.model_weights(fits, **skew), **skew)
+    averages = models.model_average(fits, **skew)
     return models.first_parameter(averages).orderBy("stock")
 
 

@@ -79,9 +79,10 @@ def with_sight_type(rows: DataFrame) -> DataFrame:
     """
     first_rows = (
         rows.groupBy("individual_id", "year")
-        .agg(F.min(F.struct("sight_date", "row_seq")).alias("first"))
+        # Days and row numbers as one number: order keys are far below 2 ** 40, days below 2 ** 20.
+        .agg(F.min(F.unix_date("sight_date").cast("bigint") * (1 << 40) + F.col("row_seq")).alias("first"))
         .withColumn("rank", F.row_number().over(Window.partitionBy("individual_id").orderBy("first")))
-        .select(F.col("first.row_seq").alias("row_seq"), (F.col("rank") == 1).alias("is_original"))
+        .select(F.col("first").bitwiseAND((1 << 40) - 1).alias("row_seq"), (F.col("rank") == 1).alias("is_original"))
     )
     sight_type = """CASE WHEN is_original
             THEN element_at(array('Original', 'Original ', 'original'), CAST(row_seq % 3 + 1 AS INT))
@@ -92,15 +93,16 @@ def with_sight_type(rows: DataFrame) -> DataFrame:
 
 
 def model_fits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per fitted model and parameter, from the parts table."""
-    return spark.read.parquet(f"{sf_dir}/part.parquet").select(
+    """One row per fitted model and parameter, three to a model, from the parts table."""
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet").select("*", F.explode(F.array(*map(F.lit, range(3)))).alias("k"))
+    return parts.select(
         F.expr("concat('S', p_partkey % 40)").alias("stock"),
         F.col("p_partkey").cast("bigint").alias("model_id"),
         F.expr("CAST(1 + p_size % 30 AS BIGINT)").alias("npar"),
         F.expr("p_retailprice / 50.0D").alias("neg2lnl"),
         F.expr("CAST(150 + p_partkey % 100 AS BIGINT)").alias("n_eff"),
         F.expr("1.0D + (p_partkey % 40) / 20.0D").alias("chat"),
-        F.expr("concat('p', (p_partkey * 7) % 3)").alias("parameter"),
-        F.expr("0.3D + ((p_partkey * 31) % 400) / 1000.0D").alias("estimate"),
-        F.expr("(1 + p_partkey % 50) / 1000.0D").alias("se"),
+        F.expr("concat('p', k)").alias("parameter"),
+        F.expr("0.3D + 0.2D * k + ((p_partkey * 31 + 7 * k) % 150) / 1000.0D").alias("estimate"),
+        F.expr("(1 + (p_partkey + k) % 50) / 1000.0D").alias("se"),
     )

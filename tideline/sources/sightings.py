@@ -15,9 +15,11 @@ def read_csv(spark: SparkSession, path: str, row_seq: str | None = None, multi_l
     ``row_seq`` names a column holding the file order; without it the order of a
     single file's records is used. ``multi_line`` allows line breaks inside quotes
     (such a file is read by one task). The file order decides ties, so tables of
-    many files should carry it as a column.
+    many files have to carry it as a column.
     """
     text = spark.read.csv(path, header=True, inferSchema=False, escape='"', multiLine=multi_line)
+    if row_seq is None and len(text.inputFiles()) > 1:
+        raise ValueError("several files have no order of their own: name the column that holds it in row_seq")
     return typed(text, row_seq)
 
 

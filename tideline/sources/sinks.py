@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import uuid
+from urllib.parse import urlsplit
 
 from pyspark.sql import DataFrame
 
@@ -30,6 +31,9 @@ def written(df: DataFrame) -> DataFrame:
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    local = spark.sparkContext.master.startswith("local")
+    if not local and urlsplit(folder).scheme in ("", "file"):
+        raise ValueError(f"{folder} is a folder of one machine; executors on others cannot see it")
     path = f"{folder}/tideline-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.parquet(path)
