@@ -5,9 +5,10 @@ Documents with the same set of word shingles are one class. Each class has a sig
 the wanted similarity share at least ``matches`` of the postings (``match_threshold`` gives
 the number, for a stated chance to miss a pair). Postings are ordered by how many classes have them, so
 two such classes meet in the first ``coordinates - matches + 1`` postings of both: the
-prefix. Only these are joined. Classes meet first with the most central class of each posting; pairs
-whose classes are already in one component are skipped when all others are joined. Pairs
-that share too few postings go, and the rest are confirmed on their full shingle sets.
+prefix. Only these are joined. Classes meet the most central class of each posting, the hub; pairs
+that share too few postings go, and the rest are confirmed on their full shingle sets. Of the
+classes that met one hub, those of one component are skipped; the others are joined on what sets them
+apart from the hub.
 """
 
 from __future__ import annotations
@@ -20,23 +21,17 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tideline.llm.common import in_slices, kept, lowered, map_batches, text_bytes
+from tideline.llm.common import hashed_words, in_slices, kept, map_batches, mixed, text_bytes
 from tideline.llm.components import components
 
 SHINGLE = 5
 COORDINATES = 64
 #: Chance that a pair of exactly the wanted similarity shares fewer postings than asked for.
 MISS = 1e-7
+#: Ids of eight bytes that are broadcast at most.
+BROADCAST_IDS = 2_000_000
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-_STEP = np.uint64(0xD6E8FEB86659FD93)
-_BACK = np.uint64(pow(int(_STEP), -1, 1 << 64))
-
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
 
 
 def match_threshold(percent: int, coordinates: int = COORDINATES, miss: float = MISS) -> int:
@@ -55,28 +50,18 @@ def shingle_hashes(raw: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) ->
     Words are runs of other bytes than blanks, with A-Z lower-cased. A text of fewer words than
     ``size`` has its whole sequence as one shingle; one without words has none.
     """
-    n = len(offsets) - 1
-    text = np.full(len(raw) + n + 1, 32, np.uint8)
-    text[np.arange(len(raw)) + np.repeat(np.arange(1, n + 1), np.diff(offsets))] = lowered(raw)
-    blank = (text == 32) | ((text >= 9) & (text <= 13))
-    begin = np.flatnonzero(~blank[1:] & blank[:-1]) + 1
-    end = np.flatnonzero(blank[1:] & ~blank[:-1]) + 1
+    word, first = hashed_words(raw, offsets)
+    count = np.diff(first)
+    made = np.where(count >= size, count - size + 1, np.minimum(count, 1))
+    starts = np.concatenate([[0], np.cumsum(made)])
+    at = np.repeat(first[:-1] - starts[:-1], made) + np.arange(starts[-1])
+    hashes = np.zeros(len(at), np.uint64)
+    length = np.repeat(np.minimum(count, size), made)
     with np.errstate(over="ignore"):
-        powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(text), _STEP)]))
-        backs = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(text), _BACK)]))
-        sums = np.concatenate([[np.uint64(0)], np.cumsum((text.astype(np.uint64) + np.uint64(1)) * powers[:-1])])
-        word = _mixed((sums[end] - sums[begin]) * backs[begin] + (end - begin).astype(np.uint64) * _ODD)
-        first = np.searchsorted(begin, offsets + np.arange(n + 1))
-        count = np.diff(first)
-        made = np.where(count >= size, count - size + 1, np.minimum(count, 1))
-        starts = np.concatenate([[0], np.cumsum(made)])
-        at = np.repeat(first[:-1] - starts[:-1], made) + np.arange(starts[-1])
-        hashes = np.zeros(len(at), np.uint64)
-        length = np.repeat(np.minimum(count, size), made)
         for k in range(size):
             there = length > k
             own = word[np.where(there, at + k, 0)] if len(word) else hashes
-            hashes = np.where(there, _mixed(hashes * _STEP + own + _ODD), hashes)
+            hashes = np.where(there, mixed(hashes * _ODD + own + _ODD), hashes)
     return hashes, starts
 
 
@@ -88,7 +73,7 @@ def signature(shingles: np.ndarray, coordinates: int = COORDINATES) -> np.ndarra
     with np.errstate(over="ignore"):
         for at in range(0, len(shingles), 512):
             least = np.minimum(least, (shingles[None, at : at + 512] * factors[:, None]).min(1))
-        return _mixed(least + (np.arange(coordinates).astype(np.uint64) + np.uint64(1)) * _ODD).view(np.int64)
+        return mixed(least + (np.arange(coordinates).astype(np.uint64) + np.uint64(1)) * _ODD).view(np.int64)
 
 
 def profiles(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -119,7 +104,10 @@ def profiles(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFrame:
-    """``id``, ``shingles``: the full shingle sets of the wanted documents."""
+    """``id``, ``shingles``: the full shingle sets of the wanted documents.
+
+    Up to ``BROADCAST_IDS`` wanted ids are broadcast, so that texts stay where they are read; more are joined by a shuffle.
+    """
 
     def work(batch: pa.RecordBatch):
         raw, offsets = text_bytes(batch.column(1))
@@ -130,12 +118,14 @@ def _sets(docs: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFrame:
                 [batch.column(0).slice(a, b - a), pa.array(sets, pa.list_(pa.int64()))], names=["id", "shingles"]
             )
 
+    wanted = kept(wanted)
+    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
     rows = docs.select(F.col(key).alias("id"), F.col(text).alias("_text")).join(wanted, "id", "left_semi")
     # An id that comes with several texts stands for all of them: each of its sets is tried.
     return map_batches(rows, "id bigint, shingles array<bigint>", work)
 
 
-def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, key: str, text: str, percent: int, matches: int):
+def _confirmed(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: int, matches: int) -> DataFrame:
     """Of pairs ``a``, ``b``: those that share enough postings and whose full sets are similar enough."""
     own = classes.select("id", "n_shingles", "postings")
     side = {c: own.select(*[F.col(x).alias(f"{c}{'' if x == 'id' else '_' + x}") for x in own.columns]) for c in "ab"}
@@ -146,8 +136,6 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, key: str,
         .filter(F.size(F.array_intersect("a_postings", "b_postings")) >= matches)
         .select("a", "b")
     )
-    wanted = close.select(F.col("a").alias("id")).union(close.select("b")).distinct()
-    sets = kept(_sets(docs, wanted, key, text))
     a, b = (sets.select(F.col("id").alias(c), F.col("shingles").alias(f"{c}_set")) for c in "ab")
     both = F.size(F.array_intersect("a_set", "b_set"))
     return kept(
@@ -160,6 +148,76 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, key: str,
     )
 
 
+def _others(met: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Linked pairs ``a``, ``b`` of classes that met the same hub and are in different components.
+
+    Let x, y stand for their differences from the hub: the shingles that only one of the two has. Classes are linked
+    if the shingles in one of x, y only are at most t = (100 - percent) / (100 + percent) of their summed sizes. So x and y share
+    at least (|x| + |y| - t) / 2 shingles, which is above 0 unless both are linked to the hub. With the differences
+    in one order, the rarest among the hub's members first, the smaller one's first t / 2 + 1 and the larger one's
+    first t + 1 shingles have one in common. Only those are joined, and positions tell which pairs cannot
+    reach the number. Copies of one text that differ in places of their own do not meet here at all.
+    """
+    own = roots.select(F.col("node").alias("id"), "root")
+    at = (
+        met.join(own, "id", "left")
+        .select("id", "hub", F.coalesce("root", "id").alias("root"))
+        .join(own.select(F.col("id").alias("hub"), F.col("root").alias("hub_root")), "hub", "left")
+        .select("id", "hub", "root", F.coalesce("hub_root", "hub").alias("hub_root"))
+    )
+    several = at.filter("root <> hub_root").select("hub").distinct()
+    members = at.join(several, "hub", "left_semi").select("id", "hub", "root")
+    differences = kept(
+        members.join(sets.select("id", F.col("shingles").alias("own")), "id")
+        .join(sets.select(F.col("id").alias("hub"), F.col("shingles").alias("theirs")), "hub")
+        .select(
+            "id", "hub", "root", F.size("own").alias("n"),
+            F.concat(F.array_except("own", "theirs"), F.array_except("theirs", "own")).alias("apart"),
+        )
+        .withColumn("size", F.size("apart"))
+    )
+    room = F.col("n") * (100 - percent) / percent
+    parts = differences.select("hub", "id", F.explode("apart").alias("shingle"))
+    often = parts.groupBy("hub", "shingle").agg(F.count("*").alias("often")).filter("often > 1")
+    own_place = Window.partitionBy("hub", "id")
+    placed = (
+        parts.join(often, ["hub", "shingle"])
+        .select("hub", "id", "shingle", "often", F.count("*").over(own_place).alias("common"))
+        .withColumn("place", F.row_number().over(own_place.orderBy("often", "shingle")))
+        .join(differences.select("hub", "id", "root", "n", "size"), ["hub", "id"])
+        # Shingles that no other member of the hub has come first; pos counts from 0.
+        .withColumn("pos", F.col("size") - F.col("common") + F.col("place") - 1)
+    )
+    large = placed.filter(F.col("pos") <= room)
+    small = placed.filter(F.col("pos") <= room / 2)
+    x, y = (side.select("hub", "shingle", *[F.col(c).alias(f"{k}_{c}") for c in ("id", "root", "n", "size", "pos")])
+            for k, side in (("x", small), ("y", large)))
+    most = (F.col("x_n") + F.col("y_n")) * (100 - percent) / (100 + percent)
+    pairs = (
+        x.join(y, ["hub", "shingle"])
+        .filter((F.col("x_size") < F.col("y_size")) | ((F.col("x_size") == F.col("y_size")) & (F.col("x_id") < F.col("y_id"))))
+        .filter(F.col("x_root") != F.col("y_root"))
+        .filter(
+            2 * F.least(F.col("x_size") - F.col("x_pos"), F.col("y_size") - F.col("y_pos"))
+            >= F.col("x_size") + F.col("y_size") - most
+        )
+        .groupBy(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b"))
+        .agg(F.min("hub").alias("hub"))
+    )
+    a, b = (
+        differences.select("hub", *[F.col(c).alias(o) for c, o in (("id", k), ("n", f"{k}_n"), ("apart", f"{k}_apart"))])
+        for k in "ab"
+    )
+    one_only = F.size("a_apart") + F.size("b_apart") - 2 * F.size(F.array_intersect("a_apart", "b_apart"))
+    return kept(
+        pairs.join(a, ["hub", "a"])
+        .join(b, ["hub", "b"])
+        .filter((100 + percent) * one_only <= (100 - percent) * (F.col("a_n") + F.col("b_n")))
+        .select("a", "b")
+        .distinct()
+    )
+
+
 def grouped(docs: DataFrame, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key``, ``n_shingles``, ``component_id``, ``kept``: one row per document.
 
@@ -194,28 +252,12 @@ def grouped(docs: DataFrame, percent: int = 80, key: str = "doc_id", text: str =
     )
     entries = kept(shared)
     hubs = entries.groupBy("posting").agg(F.max_by("id", "central").alias("hub"))
-    stars = (
-        entries.join(hubs, "posting")
-        .filter(F.col("id") != F.col("hub"))
-        .select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))
-        .distinct()
-    )
-    links = _confirmed(stars, classes, docs, key, text, percent, matches)
+    met = kept(entries.join(hubs, "posting").filter(F.col("id") != F.col("hub")).select("id", "hub").distinct())
+    stars = met.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
+    sets = kept(_sets(docs, entries.select("id").distinct(), key, text))
+    links = _confirmed(stars, classes, sets, percent, matches)
     roots = components(links)
-    at = entries.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").select(
-        "posting", "id", F.coalesce("root", "id").alias("root")
-    )
-    open_postings = at.groupBy("posting").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high")
-    left = kept(at.join(open_postings.select("posting"), "posting", "left_semi"))
-    one, two = (left.select("posting", F.col("id").alias(c), F.col("root").alias(f"{c}_root")) for c in "ab")
-    rest = (
-        one.join(two, "posting")
-        .filter((F.col("a") < F.col("b")) & (F.col("a_root") != F.col("b_root")))
-        .select("a", "b")
-        .distinct()
-        .join(stars, ["a", "b"], "left_anti")
-    )
-    more = _confirmed(rest, classes, docs, key, text, percent, matches)
+    more = _others(met, roots, sets, percent)
     if not more.isEmpty():
         roots = components(links.unionByName(more))
     home = classes.select("class", "id").join(roots.select(F.col("node").alias("id"), "root"), "id", "left")
