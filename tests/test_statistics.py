@@ -155,3 +155,61 @@ def test_known_abundance(spark):
     got = study(spark, "/root/testdata/sf0.01").jolly_seber().filter("area = 'Hawaii'").orderBy("year").collect()
     assert [(r.n, r.m, r.r, r.z) for r in got][:3] == [(148, 0, 136, 0), (164, 90, 148, 46), (136, 113, 118, 81)]
     assert [r.n_hat and round(r.n_hat, 1) for r in got] == [None, 256.9, 248.4, 248.6, 263.1, None]
+
+
+def _fits(spark):
+    rows = [
+        ("A", model, 3, 10.0 + model, 100, 1.0, f"p{k}", value, 0.1)
+        for model in (1, 2)
+        for k, value in enumerate((0.5, 0.7, 0.9))
+    ]
+    return spark.createDataFrame(
+        rows,
+        "stock string, model_id bigint, npar bigint, neg2lnl double, n_eff bigint, chat double, parameter string, "
+        "estimate double, se double",
+    )
+
+
+def test_averages_of_models_that_agree(spark):
+    from tideline.operators import models
+
+    weights = models.model_weights(_fits(spark)).collect()
+    assert len(weights) == 2
+    assert abs(sum(r["weight"] for r in weights) - 1) < 1e-12
+    averages = {r["parameter"]: round(r["estimate"], 9) for r in models.model_average(_fits(spark)).collect()}
+    assert averages == {"p0": 0.5, "p1": 0.7, "p2": 0.9}
+
+
+def test_stock_without_theta_keeps_its_rows(spark):
+    from tideline.operators import trend
+
+    estimates = spark.createDataFrame([("A", 2000, 100.0, 10.0)], "stock string, year int, n_hat double, se double")
+    theta = spark.createDataFrame([], "stock string, theta double, theta_var double")
+    row = trend.corrected_abundance(estimates, theta).first()
+    assert (row["n_hat"], row["n_i"], row["lcl"]) == (100.0, None, None)
+
+
+def test_null_estimate_is_not_present(spark):
+    from tideline.operators import trend
+
+    rows = [("A", 2000, 1.0, 1.0), ("A", 2001, 1.0, 1.0), ("B", 2000, None, None), ("B", 2001, 2.0, 1.0)]
+    estimates = spark.createDataFrame(rows, "stock string, year int, n_hat double, se double")
+    assert trend.common_years(estimates).first()["years"] == 1
+
+
+def test_first_rows_are_hashed(spark, sf_dir):
+    from tideline.plans.queries import queries
+
+    for name in ("individual_subarea", "stratified_sightings", "seen_once", "encounters_by_year_long"):
+        plan = queries()[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+        assert "SortAggregate" not in plan, name
+
+
+def test_files_without_order_are_refused(spark, tmp_path):
+    import pytest
+
+    from tideline.sources.sightings import read_csv
+
+    spark.range(4).selectExpr("id", "'x' as y").repartition(2).write.csv(str(tmp_path / "many"), header=True)
+    with pytest.raises(ValueError, match="row_seq"):
+        read_csv(spark, str(tmp_path / "many"))
