@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 BATCH_BYTES = 1 << 20
+BATCH_ROWS = 1000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -63,10 +64,21 @@ def in_slices(offsets: np.ndarray, limit: int = BATCH_BYTES) -> Iterator[tuple[i
         start = min(stop, n)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Let tasks exchange at most ``BATCH_ROWS`` rows at a time with Python, for texts are long.
+
+    Spark's own bound is a number of rows that suits narrow ones. A smaller setting of the session stays.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def map_batches(
     df: DataFrame, schema: StructType | str, work: Callable[[pa.RecordBatch], pa.RecordBatch | Iterator[pa.RecordBatch]]
 ) -> DataFrame:
     """Arrow batches in, Arrow batches out; the work sees one batch at a time."""
+    small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

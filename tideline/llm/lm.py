@@ -20,14 +20,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import fold, hashed_words, in_slices, kept, lowered, map_batches, text_bytes
+from tideline.llm.common import fold, hashed_words, in_slices, kept, lowered, map_batches, small_batches, text_bytes
 
 #: The end of a text, and what stands before it: a byte that UTF-8 never has.
 END = 0xFF
 #: Bytes of the longest context; a window of it and its follower fits a long.
 ORDER = 5
 #: Nodes that the trie keeps, contexts with a follower: those seen often enough for so many.
-MAX_NODES = 1_500_000
+MAX_NODES = 600_000
 #: The most frequent words, which tasks count on the spot; all others are looked up by a join.
 FREQUENT = 200_000
 #: The key of the end of a text among words.
@@ -174,6 +174,7 @@ def _counted(docs: DataFrame, text: str) -> DataFrame:
                         names=["kind", "key", "n"],
                     )
 
+    small_batches(docs.sparkSession)
     return (
         docs.select(text)
         .mapInArrow(run, "kind int, key bigint, n bigint")
@@ -200,17 +201,19 @@ def _trie(longest: DataFrame) -> Trie:
         while rest > MAX_NODES:
             rest -= by.get(least, 0)
             least += 1
-    found = nodes.filter(F.col("n") >= least).toPandas()
-    own = [found[found["level"] == order] for order in range(ORDER + 1)]
-    return Trie([(x["code"].to_numpy(np.int64), x["n"].to_numpy(np.int64)) for x in own])
+    levels = []
+    for order in range(ORDER + 1):
+        found = nodes.filter((F.col("level") == order) & (F.col("n") >= least)).select("code", "n").toPandas()
+        levels.append((found["code"].to_numpy(np.int64), found["n"].to_numpy(np.int64)))
+    return Trie(levels)
 
 
 class Frequent:
     """What every task has at hand: the trie, and the counts of the most frequent words."""
 
-    def __init__(self, trie: Trie, keys: np.ndarray, counts: np.ndarray):
+    def __init__(self, trie: Trie, keys: np.ndarray, counts: np.ndarray, ends: int):
         order = np.argsort(keys)
-        self.trie, self.keys, self.counts = trie, keys[order], counts[order]
+        self.trie, self.keys, self.counts, self.ends = trie, keys[order], counts[order], ends
 
     def count(self, words: np.ndarray) -> np.ndarray:
         """Counts of the words, -1 for those that are not frequent."""
@@ -233,16 +236,19 @@ def scored(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int
     totals = words.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     n, v = totals["n"] or 0, totals["v"]
     top = words.orderBy(F.desc("n"), "key").limit(FREQUENT).select("key", "n").toPandas()
+    ends = words.filter(F.col("key") == int(END_KEY)).first()
     frequent = spark.sparkContext.broadcast(
-        Frequent(_trie(counts.filter("kind = 1")), top["key"].to_numpy(np.int64), top["n"].to_numpy(np.int64))
-    )
+        Frequent(
+            _trie(counts.filter("kind = 1")), top["key"].to_numpy(np.int64), top["n"].to_numpy(np.int64),
+            ends["n"] if ends else 0,
+        )
+    )
     base = math.log10(n + v + 1)
     kind = docs.schema[key].dataType.simpleString()
 
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         own = frequent.value
         raw, offsets = text_bytes(batch.column(1))
-        end = int(own.count(np.array([END_KEY]))[0])
         for a, b in in_slices(offsets):
             part = raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
             codes, starts = windows(*part)
@@ -260,11 +266,11 @@ def scored(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int
                 xxhash.xxh3_128_digest(f"{k}/".encode() + part[0][x:y].tobytes())
                 for k, x, y in zip(batch.column(0).slice(a, b - a).to_pylist(), part[1][:-1], part[1][1:], strict=True)
             ]
-            known_here = known[first[1:]] - known[first[:-1]] + (end > 0)
+            known_here = known[first[1:]] - known[first[:-1]] + (own.ends > 0)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).slice(a, b - a), pa.array(ids, pa.binary()), pa.array(np.diff(first) + 1),
-                    pa.array(known_here), pa.array(sums[first[1:]] - sums[first[:-1]] + math.log10(max(end, 0) + 1)),
+                    pa.array(known_here), pa.array(sums[first[1:]] - sums[first[:-1]] + math.log10(own.ends + 1)),
                     pa.array(score), pa.array(tail, pa.list_(pa.int64())),
                 ],
                 names=[key, "row", "n_tokens", "known", "sum", "score", "tail"],
