@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tideline.llm.common import fold, fresh_name, in_slices, map_batches, text_bytes
+from tideline.llm.common import fold, in_slices, map_batches, text_bytes
 
 ROW_BITS = 18
 HASHES = 3
@@ -209,10 +209,10 @@ def in_known_language(docs: DataFrame, filters: Filters, text: str = "text") ->
 
     Null texts, texts without a letter and texts of which no language claims ``LEAST_CLAIM`` of the n-grams go.
     """
-    copy, columns = fresh_name(docs.columns, "_judged_text"), docs.columns
+    place = docs.columns.index(text)
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        best, _, claim = filters.judge(*text_bytes(batch.column(len(columns))))
-        return batch.select(columns).filter(pa.array((best >= 0) & (claim >= LEAST_CLAIM)))
+        best, _, claim = filters.judge(*text_bytes(batch.column(place)))
+        return batch.filter(pa.array((best >= 0) & (claim >= LEAST_CLAIM)))
 
-    return map_batches(docs.withColumn(copy, F.col(text)), docs.schema, work)
+    return map_batches(docs, docs.schema, work)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import fold, fresh_name, in_slices, lowered, map_batches, text_bytes
+from tideline.llm.common import fold, in_slices, lowered, map_batches, text_bytes
 
 SIZES = (3, 4, 5, 6)
 BUCKET_BITS = 17
@@ -220,11 +220,9 @@ def scored(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text
 
 def without_toxic(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """The rows, all columns as they are, whose text is not predicted to be toxic. Null and empty texts stay."""
-    copy = fresh_name(docs.columns, "_scored_text")
-    columns = docs.columns
+    place = docs.columns.index(text)
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        score = model.score(*text_bytes(batch.column(len(columns))))
-        return batch.select(columns).filter(pa.array(score < THRESHOLD))
+        return batch.filter(pa.array(model.score(*text_bytes(batch.column(place))) < THRESHOLD))
 
-    return map_batches(docs.withColumn(copy, F.col(text)), docs.schema, work)
+    return map_batches(docs, docs.schema, work)
