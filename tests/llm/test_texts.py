@@ -196,9 +196,10 @@ def _expected(rows):
     }
 
 
-@pytest.mark.parametrize("frequent", [0, 50, 200_000])
-def test_language_models(docs, monkeypatch, frequent):
+@pytest.mark.parametrize(("frequent", "frequent_windows"), [(0, 0), (50, 500), (200_000, 600_000)])
+def test_language_models(docs, monkeypatch, frequent, frequent_windows):
     monkeypatch.setattr(lm, "FREQUENT", frequent)
+    monkeypatch.setattr(lm, "FREQUENT_WINDOWS", frequent_windows)
     want = _expected(docs.collect())
     rows = lm.scored(docs).collect()
     assert len(rows) == len(want)

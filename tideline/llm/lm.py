@@ -5,6 +5,10 @@ followed. A byte takes its chance from the longest context that has been followe
 each context that has not passes on its escape chance, the number of its distinct followers
 over all its followers and that number, and its followers are excluded in the shorter
 contexts. Below the empty context all bytes left are alike. A text ends with a symbol of its own.
+
+The trie is a table of windows, contexts with a follower, and as large as the texts make it. A window
+that was learnt is found at its longest context; the others, each once, are joined with their contexts.
+What a text has apart from the most frequent windows is looked up by a join, too.
 """
 
 from __future__ import annotations
@@ -17,7 +21,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tideline.llm.common import fold, hashed_words, in_slices, kept, lowered, map_batches, small_batches, text_bytes
@@ -26,64 +30,16 @@ from tideline.llm.common import fold, hashed_words, in_slices, kept, lowered, ma
 END = 0xFF
 #: Bytes of the longest context; a window of it and its follower fits a long.
 ORDER = 5
-#: Nodes that the trie keeps, contexts with a follower: those seen often enough for so many.
-MAX_NODES = 600_000
-#: The most frequent words, which tasks count on the spot; all others are looked up by a join.
-FREQUENT = 200_000
+#: The most frequent words and windows, at most, which tasks look up on the spot; all others are looked up by a join.
+FREQUENT, FREQUENT_WINDOWS = 200_000, 600_000
 #: The key of the end of a text among words.
 END_KEY = np.int64(-1)
 
 
 def shorter(code, order: int):
-    """A window with a context of ``order`` bytes only."""
-    return code & ((1 << 8 * (order + 1)) - 1)
-
-
-class Trie:
-    """The fixed trie: by order the windows in order, their counts, and what their contexts add up to.
-
-    A byte that follows a context also follows its shorter ones, so what a context excludes from the
-    next shorter one is known beforehand: the counts its followers have there.
-    """
-
-    def __init__(self, nodes: list[tuple[np.ndarray, np.ndarray]]):
-        self.levels = []
-        for order, (codes, counts) in enumerate(nodes):
-            by = np.argsort(codes)
-            codes, counts = codes[by], counts[by]
-            contexts, first = np.unique(codes >> 8, return_index=True)
-            ends = np.append(first, len(codes))
-            there = counts
-            if order:
-                lower, lower_counts = self.levels[-1][:2]
-                there = lower_counts[np.searchsorted(lower, shorter(codes, order - 1))]
-            sums = [np.add.reduceat(x, first) if len(first) else first for x in (counts, there)]
-            self.levels.append((codes, counts, contexts, np.diff(ends), *sums))
-
-    def log10(self, codes: np.ndarray) -> np.ndarray:
-        """The log chance of each window's last byte after those before it."""
-        n = len(codes)
-        out, open_ = np.zeros(n), np.ones(n, bool)
-        gone, gone_counts = np.zeros(n, np.int64), np.zeros(n, np.int64)
-        for order in range(len(self.levels) - 1, -1, -1):
-            windows_, counts, contexts, followers, totals, below = self.levels[order]
-            if not len(windows_):
-                continue
-            own = shorter(codes, order)
-            at = np.minimum(np.searchsorted(contexts, own >> 8), len(contexts) - 1)
-            known = contexts[at] == own >> 8
-            kinds = np.where(known, followers[at] - gone, 0)
-            total = totals[at] - gone_counts + kinds
-            leaf = np.minimum(np.searchsorted(windows_, own), len(windows_) - 1)
-            found = open_ & (windows_[leaf] == own)
-            passed = open_ & ~found & (kinds > 0)
-            out[found] += np.log10(counts[leaf[found]] / total[found])
-            out[passed] += np.log10(kinds[passed] / total[passed])
-            open_ &= ~found
-            gone = np.where(known, followers[at], gone)
-            gone_counts = np.where(known, below[at], 0)
-        out[open_] -= np.log10(256 - gone[open_])
-        return out
+    """A window, or a column of them, with a context of ``order`` bytes only."""
+    mask = (1 << 8 * (order + 1)) - 1
+    return code.bitwiseAND(mask) if isinstance(code, Column) else code & mask
 
 
 class AdaptiveTrie:
@@ -183,42 +139,139 @@ def _counted(docs: DataFrame, text: str) -> DataFrame:
     )
 
 
-def _trie(longest: DataFrame) -> Trie:
-    """The trie of window counts, whose nodes are those seen at least as often as keeps them to ``MAX_NODES``."""
-    levels = [
-        longest.groupBy(F.col("key").bitwiseAND((1 << 8 * (order + 1)) - 1).alias("code")).agg(F.sum("n").alias("n"))
-        .select(F.lit(order).alias("level"), "code", "n")
-        for order in range(ORDER + 1)
-    ]
-    nodes = levels[0]
-    for level in levels[1:]:
-        nodes = nodes.unionByName(level)
-    nodes = kept(nodes)
-    # How many nodes are seen n times, for small n: enough to find the least count that is kept.
-    rest, least = nodes.count(), 1
-    if rest > MAX_NODES:
-        by = {r["n"]: r["count"] for r in nodes.filter("n < 100000").groupBy("n").count().collect()}
-        while rest > MAX_NODES:
-            rest -= by.get(least, 0)
-            least += 1
-    levels = []
-    for order in range(ORDER + 1):
-        found = nodes.filter((F.col("level") == order) & (F.col("n") >= least)).select("code", "n").toPandas()
-        levels.append((found["code"].to_numpy(np.int64), found["n"].to_numpy(np.int64)))
-    return Trie(levels)
-
-
-class Frequent:
-    """What every task has at hand: the trie, and the counts of the most frequent words."""
-
-    def __init__(self, trie: Trie, keys: np.ndarray, counts: np.ndarray, ends: int):
+def _most_frequent(rows: DataFrame, most: int) -> DataFrame:
+    """The rows of the largest ``n``, as many classes of about equal ``n`` as keep them to ``most``."""
+    size = F.floor(F.log2("n") * 16)
+    left, least = most, None
+    for r in rows.groupBy(size.alias("size")).count().orderBy(F.desc("size")).collect():
+        left -= r["count"]
+        if left < 0:
+            break
+        least = r["size"]
+    return rows.filter(size >= least) if least is not None else rows.limit(0)
+
+
+def _nodes(longest: DataFrame) -> DataFrame:
+    """The trie: ``level``, ``code``, ``n``, the windows of each order of context and their counts."""
+    nodes = longest.select(F.lit(ORDER).alias("level"), F.col("key").alias("code"), "n")
+    for order in range(ORDER):
+        own = longest.groupBy(shorter(F.col("key"), order).alias("code")).agg(F.sum("n").alias("n"))
+        nodes = nodes.unionByName(own.select(F.lit(order).alias("level"), "code", "n"))
+    return kept(nodes)
+
+
+def _contexts(nodes: DataFrame) -> DataFrame:
+    """``level``, ``context``, ``followers``, ``total`` of their counts, and ``below``, the total in the next shorter context.
+
+    A byte that follows a context also follows its shorter ones, so ``below`` is what the context excludes
+    there. A shorter window belongs to 256 longer ones at most, so no key is hot.
+    """
+    lower = nodes.select((F.col("level") + 1).alias("level"), F.col("code").alias("lower"), F.col("n").alias("there"))
+    own = F.lit(0).cast("bigint")
+    for order in range(1, ORDER + 1):
+        own = F.when(F.col("level") == order, shorter(F.col("code"), order - 1)).otherwise(own)
+    return kept(
+        nodes.withColumn("lower", own).join(lower, ["level", "lower"], "left")
+        .groupBy("level", F.shiftright("code", 8).alias("context"))
+        .agg(F.count("*").alias("followers"), F.sum("n").alias("total"), F.sum("there").alias("below"))
+    )
+
+
+def _learnt(longest: DataFrame, contexts: DataFrame) -> DataFrame:
+    """``key``, ``n``, ``value``: the log chance of the windows that were learnt."""
+    own = contexts.filter(F.col("level") == ORDER).select("context", "followers", "total")
+    return longest.withColumn("context", F.shiftright("key", 8)).join(own, "context").select(
+        "key", "n", F.log10(F.col("n") / (F.col("total") + F.col("followers"))).alias("value")
+    )
+
+
+def _escaped(novel: DataFrame, nodes: DataFrame, contexts: DataFrame) -> DataFrame:
+    """``key``, ``value``: the log chance of distinct windows that were not learnt, down from their longest contexts.
+
+    Contexts of up to two bytes and windows of up to two are 65,536 of a kind at most and are broadcast; what is
+    longer is looked up in one join of all orders.
+    """
+    key = F.col("key")
+    context = {k: F.shiftright(shorter(key, k), 8) for k in range(ORDER + 1)}
+    wanted = [(k, True, context[k]) for k in range(3, ORDER + 1)] + [(k, False, shorter(key, k)) for k in range(2, ORDER)]
+    asked = novel.select(
+        "key",
+        F.explode(
+            F.array(*[
+                F.struct(F.lit(k).alias("level"), F.lit(c).alias("is_context"), at.alias("at")) for k, c, at in wanted
+            ])
+        ).alias("ask"),
+    ).select("key", "ask.*")
+    zero = F.lit(0).cast("bigint")
+    facts = (
+        contexts.filter("level >= 3")
+        .select("level", F.lit(True).alias("is_context"), F.col("context").alias("at"), "followers", "total", "below")
+        .unionByName(
+            nodes.filter((F.col("level") >= 2) & (F.col("level") < ORDER)).select(
+                "level", F.lit(False).alias("is_context"), F.col("code").alias("at"), zero.alias("followers"),
+                F.col("n").alias("total"), zero.alias("below"),
+            )
+        )
+    )
+    found = asked.join(facts, ["level", "is_context", "at"], "left").groupBy("key").agg(
+        *[
+            F.max(F.when((F.col("level") == k) & (F.col("is_context") == c), F.col(column))).alias(f"{name}{k}")
+            for k, c, _ in wanted
+            for name, column in ((("f", "followers"), ("t", "total"), ("b", "below")) if c else (("n", "total"),))
+        ]
+    )
+    for k in range(3):
+        own = contexts.filter(F.col("level") == k).select(
+            F.col("context").alias("at"), F.col("followers").alias(f"f{k}"), F.col("total").alias(f"t{k}"),
+            F.col("below").alias(f"b{k}"),
+        )
+        found = found.withColumn("at", context[k]).join(F.broadcast(own), "at", "left").drop("at")
+    for k in range(2):
+        own = nodes.filter(F.col("level") == k).select(F.col("code").alias("at"), F.col("n").alias(f"n{k}"))
+        found = found.withColumn("at", shorter(key, k)).join(F.broadcast(own), "at", "left").drop("at")
+
+    def known(name: str) -> Column:
+        return F.coalesce(F.col(name), zero)
+
+    # From the shortest context on: the chance there, for a byte that no longer context was followed by.
+    value = -F.log10(256 - known("f0"))
+    for k in range(ORDER + 1):
+        gone, gone_counts = (known(f"f{k + 1}"), known(f"b{k + 1}")) if k < ORDER else (zero, zero)
+        kinds = F.when(F.col(f"f{k}").isNotNull(), F.col(f"f{k}") - gone).otherwise(zero)
+        total = known(f"t{k}") - gone_counts + kinds
+        value += F.when(kinds > 0, F.log10(kinds / total)).otherwise(0.0)
+        if k < ORDER:
+            value = F.when(F.col(f"n{k}").isNotNull(), F.log10(F.col(f"n{k}") / total)).otherwise(value)
+    return found.select("key", value.alias("value"))
+
+
+class Values:
+    """What every task has at hand of the most frequent keys: a value each."""
+
+    def __init__(self, rows: DataFrame):
+        table = rows.toPandas()
+        keys, values = table["key"].to_numpy(np.int64), table["value"].to_numpy(np.float64)
         order = np.argsort(keys)
-        self.trie, self.keys, self.counts, self.ends = trie, keys[order], counts[order], ends
+        self.keys, self.values = keys[order], values[order]
+
+    def of(self, keys: np.ndarray) -> np.ndarray:
+        """The values of the keys, nan for those that are not frequent."""
+        if not len(self.keys):
+            return np.full(len(keys), np.nan)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, self.values[at], np.nan)
 
-    def count(self, words: np.ndarray) -> np.ndarray:
-        """Counts of the words, -1 for those that are not frequent."""
-        at = np.minimum(np.searchsorted(self.keys, words), max(0, len(self.keys) - 1))
-        return np.where(self.keys[at] == words, self.counts[at], -1) if len(self.keys) else np.full(len(words), -1)
+
+def _looked_up(values: Values, keys: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """By text: the sum of the values of its keys, how many have one, and the keys that have none."""
+    index, distinct = pd.factorize(keys)
+    own = values.of(distinct)[index] if len(index) else np.zeros(0)
+    none = np.isnan(own)
+    sums = np.concatenate([[0.0], np.cumsum(np.where(none, 0.0, own))])
+    rest = np.flatnonzero(none)
+    cuts = np.searchsorted(rest, first)
+    tails = [keys[rest[x:y]] for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
+    return sums[first[1:]] - sums[first[:-1]], np.diff(first) - np.diff(cuts), tails
 
 
 def scored(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int = 7, held_out: int = 2) -> DataFrame:
@@ -232,60 +285,70 @@ def scored(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int
     spark = docs.sparkSession
     out = fold(key, folds) == held_out
     counts = kept(_counted(docs.filter(~out), text))
-    words = counts.filter("kind = 0")
+    words = counts.filter("kind = 0").select("key", "n", F.log10(F.col("n") + 1.0).alias("value"))
     totals = words.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     n, v = totals["n"] or 0, totals["v"]
-    top = words.orderBy(F.desc("n"), "key").limit(FREQUENT).select("key", "n").toPandas()
-    ends = words.filter(F.col("key") == int(END_KEY)).first()
+    last = words.filter(F.col("key") == int(END_KEY)).first()
+    ends = last["n"] if last else 0
+    longest = counts.filter("kind = 1").select("key", "n")
+    nodes = _nodes(longest)
+    contexts = _contexts(nodes)
+    learnt = kept(_learnt(longest, contexts))
     frequent = spark.sparkContext.broadcast(
-        Frequent(
-            _trie(counts.filter("kind = 1")), top["key"].to_numpy(np.int64), top["n"].to_numpy(np.int64),
-            ends["n"] if ends else 0,
-        )
-    )
+        [
+            Values(_most_frequent(rows, most).select("key", "value"))
+            for rows, most in ((words, FREQUENT), (learnt, FREQUENT_WINDOWS))
+        ]
+    )
     base = math.log10(n + v + 1)
     kind = docs.schema[key].dataType.simpleString()
 
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        own = frequent.value
+        of_words, of_windows = frequent.value
         raw, offsets = text_bytes(batch.column(1))
         for a, b in in_slices(offsets):
             part = raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
-            codes, starts = windows(*part)
-            index, distinct = pd.factorize(codes)
-            score = np.add.reduceat(own.trie.log10(distinct)[index], starts[:-1])
+            score, _, rest = _looked_up(of_windows, *windows(*part))
             hashes, first = hashed_words(*part)
-            index, distinct = pd.factorize(hashes.view(np.int64))
-            c = own.count(distinct)[index] if len(index) else np.zeros(0, np.int64)
-            sums = np.concatenate([[0.0], np.cumsum(np.log10(np.maximum(c, 0) + 1.0))])
-            known = np.concatenate([[0], np.cumsum(c > 0)])
-            rare = np.flatnonzero(c < 0)
-            cuts = np.searchsorted(rare, first)
-            tail = [hashes[rare[x:y]].view(np.int64) for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
+            sums, known, tail = _looked_up(of_words, hashes.view(np.int64), first)
             ids = [
                 xxhash.xxh3_128_digest(f"{k}/".encode() + part[0][x:y].tobytes())
                 for k, x, y in zip(batch.column(0).slice(a, b - a).to_pylist(), part[1][:-1], part[1][1:], strict=True)
             ]
-            known_here = known[first[1:]] - known[first[:-1]] + (own.ends > 0)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).slice(a, b - a), pa.array(ids, pa.binary()), pa.array(np.diff(first) + 1),
-                    pa.array(known_here), pa.array(sums[first[1:]] - sums[first[:-1]] + math.log10(own.ends + 1)),
-                    pa.array(score), pa.array(tail, pa.list_(pa.int64())),
+                    pa.array(known + (ends > 0)), pa.array(sums + math.log10(ends + 1)), pa.array(score),
+                    pa.array(tail, pa.list_(pa.int64())), pa.array(rest, pa.list_(pa.int64())),
                 ],
-                names=[key, "row", "n_tokens", "known", "sum", "score", "tail"],
+                names=[key, "row", "n_tokens", "known", "sum", "score", "tail", "rest"],
             )
 
-    schema = f"`{key}` {kind}, row binary, n_tokens bigint, known bigint, sum double, score double, tail array<bigint>"
+    schema = (
+        f"`{key}` {kind}, row binary, n_tokens bigint, known bigint, sum double, score double, "
+        "tail array<bigint>, rest array<bigint>"
+    )
     rows = kept(map_batches(docs.select(key, text), schema, work))
     # Rows of one key and text have one id, and are looked up once.
-    tails = rows.filter(F.size("tail") > 0).dropDuplicates(["row"]).select("row", F.explode("tail").alias("key"))
-    rare = (
-        tails.groupBy("row", "key").agg(F.count("*").alias("times"))
-        .join(words.select("key", "n"), "key")
-        .groupBy("row")
-        .agg(F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("more"), F.sum("times").alias("found"))
-    )
+    alike = rows.filter((F.size("tail") > 0) | (F.size("rest") > 0)).dropDuplicates(["row"])
+    asked = kept(
+        alike.select("row", F.lit(0).alias("kind"), F.explode("tail").alias("key"))
+        .unionByName(alike.select("row", F.lit(1).alias("kind"), F.explode("rest").alias("key")))
+        .groupBy("row", "kind", "key")
+        .agg(F.count("*").alias("times"))
+    )
+    novel = asked.filter("kind = 1").select("key").distinct().join(learnt.select("key"), "key", "left_anti")
+    values = (
+        words.select(F.lit(0).alias("kind"), "key", "value")
+        .unionByName(learnt.select(F.lit(1).alias("kind"), "key", "value"))
+        .unionByName(_escaped(novel, nodes, contexts).select(F.lit(1).alias("kind"), "key", "value"))
+    )
+    more = F.col("times") * F.col("value")
+    rare = asked.join(values, ["kind", "key"]).groupBy("row").agg(
+        F.sum(F.when(F.col("kind") == 0, more)).alias("more"),
+        F.sum(F.when(F.col("kind") == 0, F.col("times"))).alias("found"),
+        F.sum(F.when(F.col("kind") == 1, more)).alias("chance"),
+    )
     return rows.select(key, "row", "n_tokens", "known", "sum", "score").join(rare, "row", "left").select(
         key,
         out.alias("held_out"),
@@ -293,5 +356,5 @@ def scored(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int
         (F.col("known") + F.coalesce("found", F.lit(0))).alias("n_known"),
         F.lit(n).cast("bigint").alias("train_tokens"),
         (F.col("sum") + F.coalesce("more", F.lit(0.0)) - F.col("n_tokens") * base).alias("base_score"),
-        "score",
+        (F.col("score") + F.coalesce("chance", F.lit(0.0))).alias("score"),
     )
