@@ -153,11 +153,11 @@ def _most_frequent(rows: DataFrame, most: int) -> DataFrame:
 
 def _nodes(longest: DataFrame) -> DataFrame:
     """The trie: ``level``, ``code``, ``n``, the windows of each order of context and their counts."""
-    nodes = longest.select(F.lit(ORDER).alias("level"), F.col("key").alias("code"), "n")
-    for order in range(ORDER):
-        own = longest.groupBy(shorter(F.col("key"), order).alias("code")).agg(F.sum("n").alias("n"))
-        nodes = nodes.unionByName(own.select(F.lit(order).alias("level"), "code", "n"))
-    return kept(nodes)
+    own = F.array(*[
+        F.struct(F.lit(k).alias("level"), shorter(F.col("key"), k).alias("code")) for k in range(ORDER + 1)
+    ])
+    rows = longest.select(F.explode(own).alias("own"), "n").select("own.level", "own.code", "n")
+    return kept(rows.groupBy("level", "code").agg(F.sum("n").alias("n")))
 
 
 def _contexts(nodes: DataFrame) -> DataFrame:
@@ -188,47 +188,36 @@ def _learnt(longest: DataFrame, contexts: DataFrame) -> DataFrame:
 def _escaped(novel: DataFrame, nodes: DataFrame, contexts: DataFrame) -> DataFrame:
     """``key``, ``value``: the log chance of distinct windows that were not learnt, down from their longest contexts.
 
-    Contexts of up to two bytes and windows of up to two are 65,536 of a kind at most and are broadcast; what is
-    longer is looked up in one join of all orders.
+    Contexts and windows of up to two bytes are 65,536 of a length at most: they are broadcast, for many windows
+    ask for the same ones. What is longer is looked up in one join of all lengths.
     """
-    key = F.col("key")
-    context = {k: F.shiftright(shorter(key, k), 8) for k in range(ORDER + 1)}
-    wanted = [(k, True, context[k]) for k in range(3, ORDER + 1)] + [(k, False, shorter(key, k)) for k in range(2, ORDER)]
-    asked = novel.select(
-        "key",
-        F.explode(
-            F.array(*[
-                F.struct(F.lit(k).alias("level"), F.lit(c).alias("is_context"), at.alias("at")) for k, c, at in wanted
-            ])
-        ).alias("ask"),
-    ).select("key", "ask.*")
-    zero = F.lit(0).cast("bigint")
-    facts = (
-        contexts.filter("level >= 3")
-        .select("level", F.lit(True).alias("is_context"), F.col("context").alias("at"), "followers", "total", "below")
-        .unionByName(
-            nodes.filter((F.col("level") >= 2) & (F.col("level") < ORDER)).select(
-                "level", F.lit(False).alias("is_context"), F.col("code").alias("at"), zero.alias("followers"),
-                F.col("n").alias("total"), zero.alias("below"),
-            )
+    key, zero = F.col("key"), F.lit(0).cast("bigint")
+    contexts_at = [(k, True, F.shiftright(shorter(key, k), 8)) for k in range(ORDER + 1)]
+    wanted = contexts_at + [(k, False, shorter(key, k)) for k in range(ORDER)]
+    asks = F.array(*[
+        F.struct(F.lit(k).alias("level"), F.lit(c).alias("is_context"), at.alias("at")) for k, c, at in wanted
+    ])
+    asked = novel.select("key", F.explode(asks).alias("ask")).select("key", "ask.*")
+    facts = contexts.select(
+        "level", F.lit(True).alias("is_context"), F.col("context").alias("at"), "followers", "total", "below"
+    ).unionByName(
+        nodes.filter(F.col("level") < ORDER).select(
+            "level", F.lit(False).alias("is_context"), F.col("code").alias("at"), zero.alias("followers"),
+            F.col("n").alias("total"), zero.alias("below"),
         )
     )
-    found = asked.join(facts, ["level", "is_context", "at"], "left").groupBy("key").agg(
+    short, by = F.col("level") <= F.when(F.col("is_context"), 2).otherwise(1), ["level", "is_context", "at"]
+    answers = (
+        asked.filter(short).join(F.broadcast(facts.filter(short)), by, "left")
+        .unionByName(asked.filter(~short).join(facts.filter(~short), by, "left"))
+    )
+    found = answers.groupBy("key").agg(
         *[
             F.max(F.when((F.col("level") == k) & (F.col("is_context") == c), F.col(column))).alias(f"{name}{k}")
             for k, c, _ in wanted
             for name, column in ((("f", "followers"), ("t", "total"), ("b", "below")) if c else (("n", "total"),))
         ]
     )
-    for k in range(3):
-        own = contexts.filter(F.col("level") == k).select(
-            F.col("context").alias("at"), F.col("followers").alias(f"f{k}"), F.col("total").alias(f"t{k}"),
-            F.col("below").alias(f"b{k}"),
-        )
-        found = found.withColumn("at", context[k]).join(F.broadcast(own), "at", "left").drop("at")
-    for k in range(2):
-        own = nodes.filter(F.col("level") == k).select(F.col("code").alias("at"), F.col("n").alias(f"n{k}"))
-        found = found.withColumn("at", shorter(key, k)).join(F.broadcast(own), "at", "left").drop("at")
 
     def known(name: str) -> Column:
         return F.coalesce(F.col(name), zero)
@@ -249,8 +238,8 @@ class Values:
     """What every task has at hand of the most frequent keys: a value each."""
 
     def __init__(self, rows: DataFrame):
-        table = rows.toPandas()
-        keys, values = table["key"].to_numpy(np.int64), table["value"].to_numpy(np.float64)
+        table = rows.toArrow()
+        keys, values = table.column("key").to_numpy(), table.column("value").to_numpy()
         order = np.argsort(keys)
         self.keys, self.values = keys[order], values[order]
 
@@ -337,7 +326,7 @@ def scored(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int
         .groupBy("row", "kind", "key")
         .agg(F.count("*").alias("times"))
     )
-    novel = asked.filter("kind = 1").select("key").distinct().join(learnt.select("key"), "key", "left_anti")
+    novel = kept(asked.filter("kind = 1").select("key").distinct().join(learnt.select("key"), "key", "left_anti"))
     values = (
         words.select(F.lit(0).alias("kind"), "key", "value")
         .unionByName(learnt.select(F.lit(1).alias("kind"), "key", "value"))
