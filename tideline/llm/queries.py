@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import forest, langid, licenses, lm, mixing, neardup, sentencepiece, topk, toxicity, urlfilter
+from tideline.llm import bytebpe, forest, langid, licenses, lm, mixing, neardup, sentencepiece, topk, toxicity, urlfilter
 from tideline.llm.common import fold
 
 
@@ -69,5 +69,15 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "host", "path", "rule", "verdict")
 
 
+def byte_model() -> bytes:
+    import public_tokenizers
+
+    return bytebpe.load(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bytebpe.digests(_table(spark, sf_dir, "documents"), byte_model())
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: call for name, call in globals().items() if name.startswith("op") and callable(call)}
