@@ -61,6 +61,8 @@ def test_pairs_agree_with_merging(both):
     left, right = rng.integers(0, 3000, 20_000), rng.integers(0, 3000, 20_000)
     for a, b, fits in zip(left, right, own.compatible(left, right), strict=True):
         assert (own.merged(own.tokens[a] + own.tokens[b]) == [a, b]) == fits
+    words = [own.tokens[a] + own.tokens[b] for a, b in zip(left, right, strict=True)]
+    assert [t.tolist() for t in own.merged_together(words)] == [own.merged(w) for w in words]
     assert all((own.merged(t) == [i]) == own.alone[i] for i, t in enumerate(own.tokens[:20_000]))
 
 

@@ -13,6 +13,7 @@ import functools
 import hashlib
 import heapq
 import json
+import re
 from collections.abc import Iterable, Iterator
 
 import ahocorasick
@@ -103,6 +104,7 @@ class ByteBPE:
         self.special_id = {t["content"]: str(t["id"]) for t in added}
         self.special = regex.compile("(" + "|".join(map(regex.escape, special)) + ")") if special else None
         self.plain, self.exact, self.later = _splitters()
+        self.far = re.compile("[\u0558-\U0010ffff]").search
         self.remembered: dict[str, str] = {}
 
     def _joined_rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -172,6 +174,41 @@ class ByteBPE:
     def _rank(self) -> dict[tuple[int, int], int]:
         return {(int(k >> 32), int(k & 0xFFFFFFFF)): int(t) for k, t in zip(self.pairs, self.pair_token, strict=True)}
 
+    def merged_together(self, words: list[bytes]) -> list[np.ndarray]:
+        """As ``merged``, of many short words at once: each round does the first merge of every word."""
+        part = np.frombuffer(b"".join(words), np.uint8).astype(np.int64)
+        word = np.repeat(np.arange(len(words)), [len(w) for w in words])
+
+        def rank_at(at: np.ndarray) -> np.ndarray:
+            found = np.full(len(at), NEVER)
+            inside = np.flatnonzero((at >= 0) & (at + 1 < len(part)))
+            inside = inside[word[at[inside]] == word[at[inside] + 1]]
+            found[inside] = self._joined_rank(part[at[inside]], part[at[inside] + 1])
+            return found
+
+        rank = rank_at(np.arange(len(part)))
+        done: list[np.ndarray] = [np.zeros(0, np.int64)] * len(words)
+        while len(part):
+            starts = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+            least = np.minimum.reduceat(rank, starts)
+            if (ended := np.flatnonzero(least == NEVER)).size:
+                bounds = np.concatenate([starts, [len(part)]])
+                for k in ended.tolist():
+                    done[word[starts[k]]] = part[bounds[k] : bounds[k + 1]]
+                going = np.repeat(least < NEVER, np.diff(bounds))
+                part, word, rank = part[going], word[going], rank[going]
+                continue
+            hits = np.flatnonzero(rank == np.repeat(least, np.diff(np.concatenate([starts, [len(part)]]))))
+            hits = hits[np.concatenate([[True], word[hits[1:]] != word[hits[:-1]]])]
+            part[hits] = rank[hits]
+            stays = np.ones(len(part), bool)
+            stays[hits + 1] = False
+            part, word, rank = part[stays], word[stays], rank[stays]
+            hits = hits - np.arange(len(hits))
+            for at in (hits, hits[hits > 0] - 1):
+                rank[at] = rank_at(at)
+        return done
+
     def encoded_words(self, words: list[str]) -> list[str]:
         """Ids of each word, in decimals joined by commas."""
         raw = [w.encode() for w in words]
@@ -187,27 +224,32 @@ class ByteBPE:
         proposed = [names[t] for t in token.tolist()]
         bounds = np.searchsorted(word, np.arange(len(words) + 1)).tolist()
         out = [",".join(proposed[a:b]) for a, b in zip(bounds, bounds[1:], strict=False)]
-        for k in np.unique(word[inside[wrong]]).tolist():
+        failing = np.unique(word[inside[wrong]])
+        short = failing[size[failing] <= LONGEST].tolist()
+        for k, own in zip(short, self.merged_together([raw[k] for k in short]), strict=True):
+            out[k] = ",".join([names[t] for t in own.tolist()])
+        for k in failing[size[failing] > LONGEST].tolist():
             out[k] = ",".join([names[t] for t in self.merged(raw[k])])
         return out
 
     def words(self, text: str) -> list[str]:
-        return (self.exact if not text.isascii() and self.later(text) else self.plain)(text)
+        return (self.exact if self.far(text) and self.later(text) else self.plain)(text)
 
     def encode_all(self, texts: list[str | None]) -> list[str]:
         """The ids of each text, in decimals joined by commas. Null counts as empty; an empty text has no ids."""
         split: list[list[str]] = []
         for text in texts:
-            if self.special is None or not self.special.search(text or ""):
-                split.append(self.words(text or ""))
+            text = text or ""
+            if not any(token in text for token in self.special_id):
+                split.append(self.words(text))
                 continue
             parts = self.special.split(text)
             # The parts at odd places are added tokens; a border keeps them from being taken for words.
             split.append([w for k, p in enumerate(parts) for w in ([BORDER + p] if k % 2 else self.words(p))])
         known = self.remembered
-        new = set().union(*split) - known.keys()
+        new = [w for w in set().union(*split) if w not in known]
         special = {w: self.special_id[w[1:]] for w in new if w[0] == BORDER and w[1:] in self.special_id}
-        words = list(new - special.keys())
+        words = [w for w in new if w not in special]
         known.update(special)
         known.update(zip(words, self.encoded_words(words), strict=True) if words else ())
         out = [",".join([known[w] for w in words]) for words in split]
