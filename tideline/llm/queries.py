@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import bytebpe, forest, langid, licenses, lm, mixing, neardup, ranked, sentencepiece, topk, toxicity, urlfilter
+from tideline.llm import bytebpe, forest, langid, licenses, lm, mixing, neardup, ranked, sentencepiece, topk, toxicity, urlfilter, whitening
 from tideline.llm.common import fold
 
 
@@ -83,5 +83,9 @@ def op12_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), k=10)
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(_table(spark, sf_dir, "embeddings"), components=16)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: call for name, call in globals().items() if name.startswith("op") and callable(call)}
