@@ -112,7 +112,7 @@ def test_huge_entries(spark):
     rows = [(i, [1e300 * (i - 2), float(i * i)]) for i in range(5)]
     found = whitening.whitened(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), 2).collect()
     # The other component is lost in the rounding of the first.
-    assert len(found) == 5 and all(r["deviation"] == whitening.MOST for r in found)
+    assert len(found) == 5 and all(r["deviation"] == whitening.MOST for r in found if r["vec_id"] != 2)
     assert all(math.isfinite(r["whitened"]) for r in found)
 
 

@@ -187,8 +187,8 @@ def whitened(vectors: DataFrame, components: int = 16, key: str = "vec_id", vect
     keys, too. The fit is made on each distinct vector once. Vectors of another length than most distinct ones
     (of equally many, the longest) lie in another space and go. Entries beyond 2^53 count as 2^53, deviations
     beyond a long as the largest long. Components without variance, or with less than the rounding of the largest,
-    are left out: fewer distinct vectors than
-    components give fewer, one gives none. An empty table gives an empty one.
+    are left out: fewer distinct vectors than components give fewer, one gives none. An empty table gives an
+    empty one.
     """
     rows = usable(vectors, key, vector)
     schema = f"`{key}` {vectors.schema[key].dataType.simpleString()}, component int, n bigint, deviation bigint, "
