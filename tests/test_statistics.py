@@ -86,7 +86,7 @@ def test_draws_follow_the_covariance(spark):
     estimates = spark.createDataFrame([("s", 2000, 50.0, 2.0), ("s", 2001, 60.0, 3.0)], "stock string, year int, n_hat double, se double")
     rows = [("s", 2000, 2000, 4.0), ("s", 2000, 2001, 3.0), ("s", 2001, 2000, 3.0), ("s", 2001, 2001, 9.0)]
     covariance = spark.createDataFrame(rows, "stock string, year_i int, year_j int, cov double")
-    drawn = trend.abundance_draws(estimates, trend.cholesky_factor(covariance), 8000).toPandas()
+    drawn = trend.abundance_draws(estimates, trend.covariance_factor(covariance), 8000).toPandas()
     wide = drawn.pivot(index="rep", columns="year", values="n_hat")
     np.testing.assert_allclose(wide.mean(), [50, 60], atol=0.15)
     np.testing.assert_allclose(wide.cov(), [[4, 3], [3, 9]], atol=0.4)

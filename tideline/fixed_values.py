@@ -67,6 +67,8 @@ NULL_DETECTION = 0.4
 SEED = 1020
 MOVEMENT_REPLICATES = 1000
 TREND_REPLICATES = 10000
+BOOTSTRAP_REPLICATES = 1000
+FACTOR_TOLERANCE = 1e-10
 
 # Earth radius in km, histogram range (km) and bins, density grid points.
 EARTH_RADIUS_KM = 6378.137

@@ -36,5 +36,11 @@ def standard_normal(seed: int, *keys) -> Column:
 
 
 def poisson_one(u: Column) -> Column:
-    """Poisson draw with mean 1 from a uniform: the number of cumulative probabilities not above it."""
-    return sum((F.when(u >= c, 1).otherwise(0) for c in fv.POISSON_ONE_CUMULATIVE), F.lit(0))
+    """Poisson draw with mean 1 from a uniform: the number of cumulative probabilities not above it.
+
+    The uniform is bound once, as it is a hash that would otherwise be made for every comparison.
+    """
+    number = F.transform(
+        F.array(u), lambda x: sum((F.when(x >= c, 1).otherwise(0) for c in fv.POISSON_ONE_CUMULATIVE), F.lit(0))
+    )
+    return F.get(number, F.lit(0))

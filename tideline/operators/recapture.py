@@ -184,18 +184,37 @@ def overdispersion(years: DataFrame) -> DataFrame:
 
 
 def jolly_seber(statistics: DataFrame, groups: tuple[str, ...] = ("area",)) -> DataFrame:
-    """Marked population, abundance, detection, survival and entries per occasion; null where undefined."""
+    """Marked population, abundance, detection, survival and entries per occasion; null where undefined.
+
+    ``n_se`` and ``phi_se`` are the published large-sample standard errors: of abundance given the population
+    (Jolly 1965), of survival with its binomial part (Seber 1982), which is left out where survival is above 1.
+    """
     following = Window.partitionBy(*groups).orderBy("year")
     n, m, r, z, released = (F.col(c).cast("double") for c in ("n", "m", "r", "z", "released"))
     marked = F.when(r > 0, m + released * z / r)
     usable = (m > 0) & (F.col("marked") > 0)
+    alive = F.col("marked") - m + released
+    unseen = 1 / r - 1 / released
+
+    def following_value(column: Column) -> Column:
+        return F.lead(column).over(following)
+
+    n_var = F.col("n_hat") * (F.col("n_hat") - n) * (alive / F.col("marked") * unseen + (1 - m / n) / m)
+    at_next = (F.col("marked") - m) * alive / (F.col("marked") * F.col("marked")) * unseen
+    phi_share = (
+        following_value(F.when(usable, at_next))
+        + F.try_divide(F.col("marked") - m, alive) * unseen
+        + F.greatest(1 - F.col("phi"), F.lit(0.0)) / following_value(F.when(usable, F.col("marked")))
+    )
     return (
         statistics.withColumn("marked", marked)
         .withColumn("n_hat", F.when(usable, n * F.col("marked") / m))
         .withColumn("p", F.when(usable, m / F.col("marked")))
-        .withColumn("phi", F.try_divide(F.lead("marked").over(following), F.col("marked") - m + released))
+        .withColumn("phi", F.try_divide(F.lead("marked").over(following), alive))
         .withColumn("entries", F.lead("n_hat").over(following) - F.col("phi") * (F.col("n_hat") - n + released))
-        .select(*groups, "year", "n", "m", "r", "z", "marked", "n_hat", "p", "phi", "entries")
+        .withColumn("n_se", F.when(usable, F.sqrt(n_var)))
+        .withColumn("phi_se", F.when(r > 0, F.col("phi") * F.sqrt(phi_share)))
+        .select(*groups, "year", "n", "m", "r", "z", "marked", "n_hat", "p", "phi", "entries", "n_se", "phi_se")
     )
 
 
@@ -210,17 +229,20 @@ def parameter_ranges(estimates: DataFrame) -> DataFrame:
     )
 
 
-def abundance_bootstrap(years: DataFrame, replicates: int, seed: int = fv.SEED) -> DataFrame:
+def abundance_bootstrap(
+    years: DataFrame, replicates: int = fv.BOOTSTRAP_REPLICATES, seed: int = fv.SEED
+) -> DataFrame:
     """Annual abundance in resamples of the individuals.
 
     Each individual counts a Poisson(1) number of times per replicate, so a resample
     needs no shuffle of individuals: only counts per occasion leave the task.
     """
     draw = draws.uniform(seed, "bootstrap", F.col("rep"), F.col("area"), F.col("individual_id"))
+    # Individuals that are not drawn go when their years are unfolded: a filter would draw them once more.
     resampled = (
         repeat(years, "rep", 1, replicates, "area", "individual_id")
-        .withColumn("draw", draw)
-        .withColumn("times", draws.poisson_one(F.col("draw")))
+        .withColumn("times", draws.poisson_one(draw))
+        .withColumn("years", F.when(F.col("times") > 0, F.col("years")))
     )
     groups = ("area", "rep")
     return jolly_seber(occasion_statistics(resampled, groups, F.col("times")), groups).select(
@@ -228,40 +250,85 @@ def abundance_bootstrap(years: DataFrame, replicates: int, seed: int = fv.SEED)
     )
 
 
-def entry_parameters(years: DataFrame, survival: float = fv.NULL_SURVIVAL) -> DataFrame:
-    """Superpopulation, entry shares and survival per area, subarea and occasion, from first sightings."""
-    new = years.groupBy("area", "subarea", F.get("years", F.lit(0)).alias("year")).agg(F.count("*").alias("u"))
-    groups = new.groupBy("area", "subarea").agg(
-        F.sum("u").cast("double").alias("n_super"),
-        F.map_from_entries(F.collect_list(F.struct("year", "u"))).alias("new"),
+def bootstrap_covariance(resampled: DataFrame) -> DataFrame:
+    """Covariance of annual abundance between every two occasions of an area, over the replicates.
+
+    A pair of occasions counts the replicates in which both are defined; ``replicates`` says how many these are.
+    With fewer than two the covariance is null. An area and replicate is one short array of occasions, so pairs
+    are made inside a row and leave the task as sums.
+    """
+    points = (
+        resampled.filter(F.col("n_hat").isNotNull())
+        .groupBy("area", "rep")
+        .agg(F.collect_list(F.struct("year", "n_hat")).alias("points"))
+    )
+    pairs = points.select("area", F.inline("points").alias("year_i", "n_i"), "points").select(
+        "area", "year_i", "n_i", F.inline("points").alias("year_j", "n_j")
+    )
+    return pairs.groupBy("area", "year_i", "year_j").agg(
+        F.covar_samp("n_i", "n_j").alias("cov"), F.count("*").alias("replicates")
+    )
+
+
+def entry_parameters(years: DataFrame) -> DataFrame:
+    """Superpopulation, entry shares and survival per area, subarea and occasion, from its Jolly-Seber estimates.
+
+    At the first occasion with an estimate, and at every one that follows a gap in the estimates, all of its
+    abundance enters; elsewhere the estimated entries since the occasion before. ``survival`` is that of a year,
+    from the occasion to the next one; it is 0 before a new start. ``estimated`` is false where the subarea
+    has no estimate: nothing enters there. Subareas without any estimate are left out.
+    """
+    groups = ("area", "subarea")
+    by_year = Window.partitionBy(*groups).orderBy("year")
+    estimates = jolly_seber(occasion_statistics(years, groups), groups)
+    known = F.col("n_hat").isNotNull()
+    goes_on = known & F.lead("n_hat").over(by_year).isNotNull() & F.col("phi").isNotNull()
+    steps = estimates.select(
+        *groups,
+        "year",
+        known.alias("estimated"),
+        "n_hat",
+        F.when(goes_on, F.col("entries")).alias("entries"),
+        F.when(goes_on, F.pow("phi", 1.0 / (F.lead("year").over(by_year) - F.col("year")))).otherwise(0.0).alias("survival"),
     )
+    entering = F.coalesce(F.lag("entries").over(by_year), F.col("n_hat"), F.lit(0.0))
+    whole = F.sum("entering").over(Window.partitionBy(*groups))
     return (
-        groups.join(F.broadcast(occasions(years)), "area")
-        .withColumn("year", F.explode("occasions"))
-        .select(
-            "area",
-            "subarea",
-            "year",
-            "n_super",
-            (F.coalesce(F.try_element_at("new", F.col("year")), F.lit(0)) / F.col("n_super")).alias("entry_share"),
-            F.lit(survival).alias("survival"),
-        )
+        steps.withColumn("entering", entering)
+        .withColumn("n_super", whole)
+        .filter("n_super <> 0")
+        .select(*groups, "year", "n_super", (F.col("entering") / F.col("n_super")).alias("entry_share"), "survival", "estimated")
     )
 
 
 def derived_abundance(parameters: DataFrame) -> DataFrame:
     """Abundance per area and occasion: entries so far times their survival since, over subareas.
 
-    The survival since entry is split into powers from the group's first year, so a
-    running sum per group replaces a join of occasions.
+    N(t) = sum over j <= t of n_super * entry_share(j) * the survival of the years from j to t. It is followed from
+    occasion to occasion inside one array per subarea, as what was there before survives together: no power is
+    ever divided by, and a survival of 0 leaves nothing. ``survival`` of a row is that of each year until the next row.
     """
-    group = Window.partitionBy("area", "subarea")
-    so_far = group.orderBy("year").rowsBetween(Window.unboundedPreceding, 0)
-    age = F.col("year") - F.col("start")
-    alive = F.col("n_super") * F.col("entry_share") * F.pow("survival", -age)
+    point = F.struct("year", (F.col("n_super") * F.col("entry_share")).alias("entering"), "survival")
+    start = F.struct(
+        F.lit(None).cast("int").alias("year"), F.lit(0.0).alias("n"), F.lit(0.0).alias("survival"),
+        F.array().cast("array<struct<year:int,n:double>>").alias("done"),
+    )
+
+    def step(state, p):
+        kept = F.when(state["year"].isNull(), F.lit(0.0)).otherwise(
+            state["n"] * F.pow(state["survival"], (p["year"] - state["year"]).cast("double"))
+        )
+        n = kept + p["entering"]
+        row = F.struct(p["year"].cast("int").alias("year"), n.alias("n"))
+        return F.struct(
+            p["year"].cast("int").alias("year"), n.alias("n"), p["survival"].alias("survival"),
+            F.concat(state["done"], F.array(row)).alias("done"),
+        )
+
     return (
-        parameters.withColumn("start", F.min("year").over(group))
-        .withColumn("n_group", F.sum(alive).over(so_far) * F.pow("survival", age))
+        parameters.groupBy("area", "subarea")
+        .agg(F.array_sort(F.collect_list(point)).alias("points"))
+        .select("area", F.inline(F.aggregate("points", start, step, lambda state: state["done"])))
         .groupBy("area", "year")
-        .agg(F.sum("n_group").alias("n_hat"))
+        .agg(F.sum("n").alias("n_hat"))
     )

@@ -19,9 +19,11 @@ def repeat(df: DataFrame, name: str, first: int, last: int, *keys: str) -> DataF
 
     The rows are first dealt to a fixed number of tasks by ``keys``, which tell rows
     apart: their size before repeating says nothing about the work after it, so
-    neither file splits nor adaptive merging may decide.
+    neither file splits nor adaptive merging may decide. They are dealt by a hash of
+    the keys: by the keys themselves, an exchange of the same keys before would be
+    taken for this one, and adaptive execution would merge it into a task.
     """
-    return df.repartition(_tasks(df), *keys).withColumn(name, F.explode(F.sequence(F.lit(first), F.lit(last))))
+    return df.repartition(_tasks(df), F.xxhash64(*keys)).withColumn(name, F.explode(F.sequence(F.lit(first), F.lit(last))))
 
 
 def explode_range(df: DataFrame, name: str, last: Column | int, block: int = BLOCK) -> DataFrame:

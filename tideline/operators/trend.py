@@ -75,16 +75,30 @@ def diagonal_factor(estimates: DataFrame) -> DataFrame:
     return estimates.select("stock", F.col("year").alias("year_i"), F.col("year").alias("year_j"), F.col("se").alias("l"))
 
 
-def cholesky_factor(covariance: DataFrame) -> DataFrame:
-    """Lower Cholesky factor of each stock's covariance (columns year_i, year_j, cov)."""
+def covariance_factor(covariance: DataFrame, tolerance: float = fv.FACTOR_TOLERANCE) -> DataFrame:
+    """Factor of each stock's covariance (columns year_i, year_j, cov), which may be singular.
+
+    Cholesky with pivots: the year with the most variance left is factored next, and ``year_j`` names it. It ends
+    where no year has more than ``tolerance`` times the largest variance left: what remains is rounding, or the
+    negative part that covariances over different replicates can have. Years without a variance are left out;
+    a covariance that is null counts as 0. One small matrix per stock.
+    """
 
     def factor(pdf: pd.DataFrame) -> pd.DataFrame:
         wide = pdf.pivot(index="year_i", columns="year_j", values="cov").sort_index().sort_index(axis=1)
-        lower = np.linalg.cholesky(wide.to_numpy())
-        i, j = np.nonzero(np.tril(np.ones_like(lower, dtype=bool)))
-        return pd.DataFrame(
-            {"stock": pdf["stock"].iloc[0], "year_i": wide.index[i], "year_j": wide.columns[j], "l": lower[i, j]}
-        )
+        known = [y for y in wide.index if pd.notna(wide.at[y, y])]
+        left = wide.loc[known, known].fillna(0.0).to_numpy(copy=True)
+        least = tolerance * left.diagonal().max(initial=0.0)
+        columns = []
+        for _ in known:
+            pivot = int(np.argmax(left.diagonal()))
+            if left[pivot, pivot] <= least:
+                break
+            column = left[:, pivot] / np.sqrt(left[pivot, pivot])
+            left -= np.outer(column, column)
+            columns.append(pd.DataFrame({"year_i": known, "year_j": known[pivot], "l": column}))
+        out = pd.concat(columns) if columns else pd.DataFrame({"year_i": [], "year_j": [], "l": []})
+        return out.assign(stock=pdf["stock"].iloc[0])[["stock", "year_i", "year_j", "l"]]
 
     return covariance.groupBy("stock").applyInPandas(factor, "stock string, year_i int, year_j int, l double")
 
@@ -95,22 +109,24 @@ def abundance_draws(
     """Multivariate normal draws of annual abundance, from the uncorrected estimates and their factor.
 
     One row per stock carries the years, means and factor rows; it is repeated over all
-    tasks and each draw is a product inside the row.
+    tasks and each draw is a product inside the row. Years without an estimate are not drawn;
+    an estimate without a row of the factor has no variance.
     """
+    entry = "array<struct<year_j:int,l:double>>"
     rows = factor.groupBy("stock", F.col("year_i").alias("year")).agg(
-        F.collect_list(F.struct("year_j", "l")).alias("row")
+        F.collect_list(F.struct(F.col("year_j").cast("int").alias("year_j"), "l")).alias("row")
     )
+    point = F.struct("year", "n_hat", F.coalesce("row", F.array().cast(entry)).alias("row"))
     stocks = (
-        estimates.join(rows, ["stock", "year"])
+        estimates.filter(F.col("n_hat").isNotNull())
+        .join(rows, ["stock", "year"], "left")
         .groupBy("stock")
-        .agg(F.array_sort(F.collect_list(F.struct("year", "n_hat", "row"))).alias("points"))
+        .agg(F.array_sort(F.collect_list(point)).alias("points"))
+        .withColumn("axes", F.array_distinct(F.flatten(F.transform("points", lambda p: p["row"]["year_j"]))))
     )
     repeated = explode_range(stocks, "rep", replicates)
-    normal = F.map_from_entries(
-        F.transform(
-            "points",
-            lambda p: F.struct(p["year"], draws.standard_normal(seed, "trend", F.col("stock"), F.col("rep"), p["year"])),
-        )
+    normal = F.map_from_arrays(
+        "axes", F.transform("axes", lambda y: draws.standard_normal(seed, "trend", F.col("stock"), F.col("rep"), y))
     )
     deviation = F.aggregate(
         "point.row", F.lit(0.0), lambda total, e: total + e["l"] * F.element_at("normal", e["year_j"])

@@ -7,11 +7,13 @@ from tideline.plans import queries as registered
 # Constants of the SQL below, from ``tideline.fixed_values``.
 SEED = 1020
 FIRST_YEAR, LAST_YEAR = registered.FIRST_YEAR, registered.LAST_YEAR
-MOVES, BOOTS, TRENDS = (
-    registered.MOVEMENT_REPLICATES,
-    registered.BOOTSTRAP_REPLICATES,
-    registered.TREND_REPLICATES,
-)
+MOVES, BOOTS, TRENDS = 1000, 1000, 10000
+# Cumulative Poisson(1) probabilities.
+_POISSON = (
+    0.36787944117144232, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462,
+    0.9963401531726563, 0.9994058151824183, 0.999916758850712, 0.9999897508033253,
+    0.999998874797402, 0.9999998885745217, 0.9999999899522336, 0.9999999991683892,
+)
 
 _AREA = "CASE WHEN area IN ('4-island', '4-island ', '4-Island', 'Maui') THEN 'Maui Nui' ELSE area END"
 _SIGHT_TYPE = """CASE WHEN sight_type IN ('Original', 'Original ', 'original') THEN 'Original'
@@ -77,6 +79,27 @@ NORMAL_CDF = """(SELECT 0.5 + sign(zz) * sum(CASE WHEN k IN (0, 2000) THEN 1 WHE
     * exp(-power(least(abs(zz), 9) * k / 2000.0, 2) / 2)) * least(abs(zz), 9) / 6000.0 / sqrt(2 * pi())
     FROM range(0, 2001) t(k))"""
 
+
+
+def _jolly_seber(statistics: str, groups: str) -> str:
+    """Estimates and their published variances, each from its own formula over the statistics of two occasions."""
+    alive, alive_next = "(marked - m + released)", "(marked1 - m1 + released1)"
+    return f"""SELECT * EXCLUDE (marked1, m1, r1, released1, n_hat1),
+        marked1 / nullif({alive}, 0) AS phi, n_hat1 - marked1 / nullif({alive}, 0) * (n_hat - n + released) AS entries,
+        sqrt(CASE WHEN n_hat IS NOT NULL THEN n_hat * (n_hat - n)
+          * ({alive} / marked * (1.0 / r - 1.0 / released) + (1 - m / n) / m) END) AS n_se,
+        marked1 / nullif({alive}, 0) * sqrt(CASE WHEN r > 0 AND r1 > 0 AND m1 > 0 AND marked1 > 0 THEN
+          (marked1 - m1) * {alive_next} / (marked1 * marked1) * (1.0 / r1 - 1.0 / released1)
+          + (marked - m) / nullif({alive}, 0) * (1.0 / r - 1.0 / released)
+          + greatest(1 - marked1 / nullif({alive}, 0), 0) / marked1 END) AS phi_se
+      FROM (SELECT *, lead(marked) OVER w AS marked1, lead(m) OVER w AS m1, lead(r) OVER w AS r1,
+        lead(released) OVER w AS released1, lead(n_hat) OVER w AS n_hat1 FROM (
+      SELECT *, CASE WHEN m > 0 AND marked > 0 THEN n * marked / m END AS n_hat,
+        CASE WHEN m > 0 AND marked > 0 THEN m / marked END AS p FROM (
+      SELECT *, CASE WHEN r > 0 THEN m + released * z / r END AS marked FROM {statistics}))
+      WINDOW w AS (PARTITION BY {groups} ORDER BY year))"""
+
+
 RAW = """
   SELECT CAST(row_seq AS BIGINT) AS row_seq, CAST(k AS BIGINT) AS individual_id, d AS sight_date, y AS year,
     concat(CAST(nk AS VARCHAR), '-', CAST(y * 100 + m AS VARCHAR)) AS encounter_id,
@@ -157,15 +180,6 @@ TABLES = {
       FROM curated GROUP BY ALL""",
     "est": f"""SELECT area AS stock, year, CAST(individuals AS DOUBLE) AS n_hat, sqrt(CAST(individuals AS DOUBLE)) AS se
       FROM annual WHERE area IN {_STOCKS}""",
-    "corrected": """SELECT *, round_even(n_i / c, 0) AS lcl, round_even(n_i * c, 0) AS ucl FROM (
-      SELECT *, exp(1.96 * sqrt(ln(1 + cvcond * cvcond))) AS c FROM (
-      SELECT *, second / n_i AS cvcond FROM (SELECT *, sqrt(varcond) AS second FROM (
-      SELECT stock, year, n_hat, se, n_hat / theta AS n_i,
-        se * se / (theta * theta) + theta_var * (n_hat * n_hat / power(theta, 4)) AS varcond
-      FROM est LEFT JOIN theta USING (stock)))))""",
-    "growth": """SELECT *, diff_growth / diff_year / n_i * 100 AS rate_percent FROM (
-      SELECT stock, year, n_i, year - lag(year) OVER w AS diff_year, n_i - lag(n_i) OVER w AS diff_growth
-      FROM corrected WINDOW w AS (PARTITION BY stock ORDER BY year))""",
 }
 
 # Discovery curves.
@@ -256,12 +270,73 @@ TABLES |= {
       LEFT JOIN iy y ON y.area = o.area AND y.individual_id = s.individual_id AND y.year = o.year GROUP BY ALL""",
     "steps": """SELECT area, individual_id, year AS release_year,
       lead(year) OVER (PARTITION BY area, individual_id ORDER BY year) AS next_year FROM iy""",
-    "js": """SELECT *, (lead(marked) OVER w) / nullif(marked - m + released, 0) AS phi, lead(n_hat) OVER w
-        - (lead(marked) OVER w) / nullif(marked - m + released, 0) * (n_hat - n + released) AS entries FROM (
-      SELECT *, CASE WHEN m > 0 AND marked > 0 THEN n * marked / m END AS n_hat,
-        CASE WHEN m > 0 AND marked > 0 THEN m / marked END AS p FROM (
-      SELECT *, CASE WHEN r > 0 THEN m + released * z / r END AS marked FROM stats))
-      WINDOW w AS (PARTITION BY area ORDER BY year)""",
+    "js": _jolly_seber("stats", "area"),
+    "spans_sub": "SELECT area, subarea, individual_id, min(year) AS f, max(year) AS l FROM iy GROUP BY ALL",
+    "stats_sub": """SELECT o.area, o.subarea, o.year, count(*) FILTER (y.year IS NOT NULL) AS n,
+        count(*) FILTER (y.year IS NOT NULL AND f < o.year) AS m, count(*) FILTER (y.year IS NOT NULL) AS released,
+        count(*) FILTER (y.year IS NOT NULL AND l > o.year) AS r,
+        count(*) FILTER (y.year IS NULL AND f < o.year AND l > o.year) AS z
+      FROM (SELECT DISTINCT area, subarea, year FROM iy) o JOIN spans_sub s USING (area, subarea)
+      LEFT JOIN iy y ON y.area = o.area AND y.subarea = o.subarea AND y.individual_id = s.individual_id AND y.year = o.year
+      GROUP BY ALL""",
+    "js_sub": _jolly_seber("stats_sub", "area, subarea"),
+    "steps_sub": """SELECT *, lead(year) OVER w - year AS gap,
+        n_hat IS NOT NULL AND lead(n_hat) OVER w IS NOT NULL AND phi IS NOT NULL AS goes_on
+      FROM js_sub WINDOW w AS (PARTITION BY area, subarea ORDER BY year)""",
+    "entering_sub": """SELECT area, subarea, year, gap, coalesce(lag(CASE WHEN goes_on THEN entries END) OVER w, n_hat, 0) AS entering,
+        CASE WHEN goes_on THEN power(phi, 1.0 / gap) ELSE 0 END AS survival, n_hat IS NOT NULL AS estimated
+      FROM steps_sub WINDOW w AS (PARTITION BY area, subarea ORDER BY year)""",
+    "boot_w": f"""SELECT area, individual_id, rep, ({'+'.join(f'CASE WHEN u >= {c!r} THEN 1 ELSE 0 END' for c in _POISSON)}) AS w
+      FROM (SELECT area, individual_id, rep, {uniform("'bootstrap'", "rep", "area", "individual_id")} AS u
+        FROM spans, unnest(range(1, {BOOTS} + 1)) q(rep))""",
+    "boot_kept": """SELECT y.area, rep, y.individual_id, y.year, w, min(y.year) OVER g AS f, max(y.year) OVER g AS l
+      FROM iy y JOIN boot_w b ON b.area = y.area AND b.individual_id = y.individual_id WHERE w > 0
+      WINDOW g AS (PARTITION BY y.area, rep, y.individual_id)""",
+    "boot_people": "SELECT DISTINCT area, rep, individual_id, w, f, l FROM boot_kept",
+    "boot_cells": """SELECT area, rep, year, sum(w) AS n, sum(CASE WHEN f < year THEN w ELSE 0 END) AS m,
+      sum(CASE WHEN l > year THEN w ELSE 0 END) AS r FROM boot_kept GROUP BY ALL""",
+    "boot_missed": """SELECT c.area, c.rep, c.year, sum(p.w) AS z FROM boot_cells c JOIN boot_people p ON p.area = c.area
+      AND p.rep = c.rep AND p.f < c.year AND p.l > c.year
+      AND NOT EXISTS (SELECT 1 FROM iy y WHERE y.area = c.area AND y.individual_id = p.individual_id
+        AND y.year = c.year) GROUP BY ALL""",
+    "boot": """SELECT area, rep, year, n, CASE WHEN r > 0 AND m > 0 THEN n * (m + n * coalesce(z, 0) / r) / m END AS n_hat
+      FROM boot_cells LEFT JOIN boot_missed USING (area, rep, year)""",
+    "bootcov": """SELECT a.area AS stock, a.year AS year_i, b.year AS year_j, covar_samp(a.n_hat, b.n_hat) AS cov,
+      count(*) AS replicates FROM boot a JOIN boot b ON a.area = b.area AND a.rep = b.rep
+      WHERE a.n_hat IS NOT NULL AND b.n_hat IS NOT NULL GROUP BY ALL""",
+    "estimates": """SELECT j.area AS stock, j.year, j.n_hat, sqrt(c.cov) AS se FROM js j
+      LEFT JOIN bootcov c ON c.stock = j.area AND c.year_i = j.year AND c.year_j = j.year""",
+    "corrected": """SELECT *, round_even(n_i / c, 0) AS lcl, round_even(n_i * c, 0) AS ucl FROM (
+      SELECT *, exp(1.96 * sqrt(ln(1 + cvcond * cvcond))) AS c FROM (
+      SELECT *, second / n_i AS cvcond FROM (SELECT *, sqrt(varcond) AS second FROM (
+      SELECT stock, year, n_hat, se, n_hat / theta AS n_i,
+        se * se / (theta * theta) + theta_var * (n_hat * n_hat / power(theta, 4)) AS varcond
+      FROM estimates LEFT JOIN theta USING (stock)))))""",
+    "growth": """SELECT *, diff_growth / diff_year / n_i * 100 AS rate_percent FROM (
+      SELECT stock, year, n_i, year - lag(year) OVER w AS diff_year, n_i - lag(n_i) OVER w AS diff_growth
+      FROM corrected WINDOW w AS (PARTITION BY stock ORDER BY year))""",
+    "fac_years": """SELECT stock, list(year_i ORDER BY year_i) AS years, count(*) AS t FROM bootcov
+      WHERE year_i = year_j AND cov IS NOT NULL GROUP BY stock""",
+    "fac_matrix": """SELECT i.stock, any_value(i.years) AS years, any_value(i.t) AS t,
+        list(coalesce(v.cov, 0.0) ORDER BY i.y, j.y) AS a
+      FROM (SELECT *, unnest(years) AS y FROM fac_years) i JOIN (SELECT stock, unnest(years) AS y FROM fac_years) j USING (stock)
+      LEFT JOIN bootcov v ON v.stock = i.stock AND v.year_i = i.y AND v.year_j = j.y GROUP BY i.stock""",
+    "fac": """SELECT stock, years, t, 0 AS k, a, 1e-10 * list_max(list_transform(range(1, t + 1), lambda i: a[(i - 1) * t + i])) AS least,
+        CAST(NULL AS BIGINT) AS p, CAST(NULL AS DOUBLE[]) AS l FROM fac_matrix
+      UNION ALL SELECT stock, years, t, k + 1,
+        list_transform(range(1, t * t + 1), lambda x: a0[x] - l1[(x - 1) // t + 1] * l1[(x - 1) % t + 1]), least, p, l1
+      FROM (SELECT *, list_transform(range(1, t + 1), lambda i: a0[(i - 1) * t + p] / sqrt(top)) AS l1
+        FROM (SELECT stock, years, t, k, a AS a0, least, CAST(list_position(diag, list_max(diag)) AS BIGINT) AS p, list_max(diag) AS top
+          FROM (SELECT *, list_transform(range(1, t + 1), lambda i: a[(i - 1) * t + i]) AS diag FROM fac WHERE k < t))
+        WHERE top > least)""",
+    "fac_l": "SELECT stock, years[i] AS year_i, years[p] AS year_j, l[i] AS l FROM fac, unnest(range(1, t + 1)) x(i) WHERE k > 0",
+    "draw_z": f"""SELECT stock, year_j, rep, {normal("'trend'", "stock", "rep", "year_j")} AS z
+      FROM (SELECT DISTINCT stock, year_j FROM fac_l), unnest(range(1, {TRENDS} + 1)) r(rep)""",
+    "trend_draws": f"""SELECT j.area AS stock, r.rep, j.year, any_value(j.n_hat) + coalesce(sum(f.l * z.z), 0) AS n_hat
+      FROM js j CROSS JOIN (SELECT unnest(range(1, {TRENDS} + 1)) AS rep) r
+      LEFT JOIN fac_l f ON f.stock = j.area AND f.year_i = j.year
+      LEFT JOIN draw_z z ON z.stock = f.stock AND z.year_j = f.year_j AND z.rep = r.rep
+      WHERE j.n_hat IS NOT NULL GROUP BY j.area, r.rep, j.year""",
     "fits": """SELECT concat('S', CAST(p_partkey % 40 AS VARCHAR)) AS stock, CAST(p_partkey AS BIGINT) AS model_id,
       CAST(1 + p_size % 30 AS BIGINT) AS npar, p_retailprice / 50.0E0 AS neg2lnl,
       CAST(150 + p_partkey % 100 AS BIGINT) AS n_eff, 1.0E0 + (p_partkey % 40) / 20.0E0 AS chat,
@@ -275,13 +350,11 @@ TABLES |= {
     "averaged": """SELECT stock, parameter, max(a) AS estimate, sum(weight * sqrt(se * se + power(estimate - a, 2))) AS se
       FROM (SELECT f.*, weight, sum(weight * estimate) OVER (PARTITION BY f.stock, parameter) AS a
         FROM fits f JOIN weighted w ON w.model_id = f.model_id AND w.stock = f.stock) GROUP BY ALL""",
-    "trend_draws": f"""SELECT stock, rep, year, n_hat + se * {normal("'trend'", "stock", "rep", "year")} AS n_hat
-      FROM est, unnest(range(1, {TRENDS} + 1)) r(rep)""",
     "lines": """SELECT stock, rep, regr_slope(n_hat, year) AS slope, regr_intercept(n_hat, year) AS intercept
       FROM trend_draws GROUP BY ALL""",
     "pooled": """SELECT rep, regr_slope(n, year) AS slope, regr_intercept(n, year) AS intercept FROM (
       SELECT rep, year, sum(n_hat) AS n FROM trend_draws GROUP BY ALL
-      HAVING count(n_hat) = (SELECT count(DISTINCT stock) FROM est WHERE n_hat IS NOT NULL)) GROUP BY rep""",
+      HAVING count(n_hat) = (SELECT count(DISTINCT area) FROM js WHERE n_hat IS NOT NULL)) GROUP BY rep""",
 }
 
 
@@ -303,7 +376,7 @@ def _needed(body: str) -> list[str]:
 def query(body: str) -> str:
     """A full statement: ``body`` starts with SELECT, or with a comma and further tables."""
     tables = ",\n".join(f"{name} AS ({TABLES[name]})" for name in _needed(body))
-    return f"WITH {tables}\n{body}"
+    return f"WITH RECURSIVE {tables}\n{body}"
 
 
 def _interval(source: str, *groups: str) -> str:
@@ -356,14 +429,6 @@ def oracle_sql() -> dict[str, str]:
     sources = f"""count(*) FILTER (source = 'RWB') AS crc_encounters, count(*) FILTER (source IN {_PWF}) AS pwf_encounters,
       count(*) FILTER (source IS NULL OR (source <> 'RWB' AND source NOT IN {_PWF})) AS other_encounters"""
     corrected = ", ".join(r6(c, c) for c in ("n_hat", "se", "n_i", "varcond", "second", "cvcond", "lcl", "ucl"))
-    boot_weight = "+".join(
-        f"CASE WHEN u >= {c!r} THEN 1 ELSE 0 END"
-        for c in (
-            0.36787944117144232, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462,
-            0.9963401531726563, 0.9994058151824183, 0.999916758850712, 0.9999897508033253,
-            0.999998874797402, 0.9999998885745217, 0.9999999899522336, 0.9999999991683892,
-        )
-    )
     chi = """CASE WHEN a + b + c + d > 0 AND least(a + b, c + d) * least(a + c, b + d) >= 2 * (a + b + c + d)
       THEN (a + b + c + d) * power(a * d - b * c, 2) / ((a + b) * (c + d) * (a + c) * (b + d)) END"""
     sql = {
@@ -537,30 +602,21 @@ def oracle_sql() -> dict[str, str]:
             SELECT area, round_even(coalesce(sum(chi), 0.0), 6) + 0.0 AS chi_square, count(chi) AS df,
               {r6('sum(chi) / nullif(count(chi), 0)', 'c_hat')} FROM chis GROUP BY area""",
         "jolly_seber": f"""SELECT area, year, n, m, r, z, {r6('marked', 'marked')}, {r6('n_hat', 'n_hat')}, {r6('p', 'p')},
-            {r6('phi', 'phi')}, {r6('entries', 'entries')} FROM js""",
+            {r6('phi', 'phi')}, {r6('entries', 'entries')}, {r6('n_se', 'n_se')}, {r6('phi_se', 'phi_se')} FROM js""",
         "parameter_ranges": f"""SELECT area, {r6('min(phi)', 'phi_min')}, {r6('max(phi)', 'phi_max')}, {r6('avg(p)', 'p_mean')},
             {r6('min(p)', 'p_min')}, {r6('max(p)', 'p_max')},
             {r6('(SELECT avg(mean) * 100 FROM good)', 'good_photo_percent')} FROM js GROUP BY area""",
+        "entry_parameters": f"""SELECT area, subarea, year, {r6('n_super', 'n_super')}, {r6('entering / n_super', 'entry_share')},
+            {r6('survival::DOUBLE', 'survival')}, estimated
+            FROM (SELECT *, sum(entering) OVER (PARTITION BY area, subarea) AS n_super FROM entering_sub) WHERE n_super <> 0""",
         "derived_abundance": f"""
-            , firsts2 AS (SELECT area, subarea, individual_id, min(year) AS year FROM iy GROUP BY ALL),
-              cells AS (SELECT o.area, o.year AS t, e.year AS j FROM occ o JOIN firsts2 e ON e.area = o.area AND e.year <= o.year)
-            SELECT area, t AS year, {r6('sum(power(0.9, t - j))', 'n_hat')} FROM cells GROUP BY area, t""",
-        "abundance_bootstrap": f"""
-            , w AS (SELECT area, individual_id, rep, ({boot_weight}) AS w FROM (SELECT area, individual_id, rep,
-                {uniform("'bootstrap'", "rep", "area", "individual_id")} AS u FROM spans, unnest(range(1, {BOOTS} + 1)) q(rep))),
-              kept AS (SELECT y.area, rep, y.individual_id, y.year, w, min(y.year) OVER g AS f, max(y.year) OVER g AS l
-                FROM iy y JOIN w ON w.area = y.area AND w.individual_id = y.individual_id WHERE w > 0
-                WINDOW g AS (PARTITION BY y.area, rep, y.individual_id)),
-              people AS (SELECT DISTINCT area, rep, individual_id, w, f, l FROM kept),
-              cells AS (SELECT area, rep, year, sum(w) AS n, sum(CASE WHEN f < year THEN w ELSE 0 END) AS m,
-                sum(CASE WHEN l > year THEN w ELSE 0 END) AS r FROM kept GROUP BY ALL),
-              missed AS (SELECT c.area, c.rep, c.year, sum(p.w) AS z FROM cells c JOIN people p ON p.area = c.area
-                AND p.rep = c.rep AND p.f < c.year AND p.l > c.year
-                AND NOT EXISTS (SELECT 1 FROM iy y WHERE y.area = c.area AND y.individual_id = p.individual_id
-                  AND y.year = c.year) GROUP BY ALL)
-            SELECT area, rep::INT AS rep, year, n::BIGINT AS n,
-              round_even(CASE WHEN r > 0 AND m > 0 THEN n * (m + n * coalesce(z, 0) / r) / m END, 6) + 0.0 AS n_hat
-            FROM cells LEFT JOIN missed USING (area, rep, year)""",
+            , p AS (SELECT *, sum(entering) OVER (PARTITION BY area, subarea) AS n_super FROM entering_sub),
+              cells AS (SELECT t.area, t.subarea, t.year, j.entering * coalesce((SELECT product(power(s.survival, s.gap))
+                  FROM p s WHERE s.area = t.area AND s.subarea = t.subarea AND s.year >= j.year AND s.year < t.year), 1) AS n
+                FROM p t JOIN p j ON j.area = t.area AND j.subarea = t.subarea AND j.year <= t.year WHERE t.n_super <> 0)
+            SELECT area, year, {r6('sum(n)', 'n_hat')} FROM cells GROUP BY area, year""",
+        "abundance_bootstrap": f"SELECT area, rep::INT AS rep, year, n::BIGINT AS n, {r6('n_hat', 'n_hat')} FROM boot",
+        "bootstrap_covariance": f"SELECT stock, year_i, year_j, {r6('cov', 'cov')}, replicates FROM bootcov",
         "model_weights": f"""SELECT stock, model_id, npar, {r6('qaicc', 'qaicc')}, {r6('delta', 'delta')},
             {r6('weight', 'weight')}, {r6('chat', 'chat')} FROM weighted WHERE weight > 0.0001""",
         "model_average": f"SELECT stock, parameter, {r6('estimate', 'estimate')}, {r6('se', 'se')} FROM averaged",
@@ -572,21 +628,14 @@ def oracle_sql() -> dict[str, str]:
         "annual_growth": f"""SELECT stock, year, {r6('n_i', 'n_i')}, diff_year, {r6('diff_growth', 'diff_growth')},
             {r6('rate_percent', 'rate_percent')} FROM growth""",
         "mean_growth": f"SELECT stock, {r6('avg(rate_percent)', 'mean_growth')} FROM growth GROUP BY stock",
-        "trend_slope": f"""SELECT stock, {r6('regr_slope(n_hat, year)', 'slope')},
-            {r6('regr_intercept(n_hat, year)', 'intercept')} FROM est GROUP BY stock""",
-        "abundance_draws": f"""
-            , z AS (SELECT stock, year, rep, {normal("'trend'", "stock", "rep", "year")} AS z
-                FROM est, unnest(range(1, 51)) r(rep)),
-              g AS (SELECT stock, year, coalesce(sqrt(1 - power(0.25,
-                year - lag(year) OVER (PARTITION BY stock ORDER BY year))), 1) AS fresh FROM est)
-            SELECT e.stock, z.rep, e.year,
-              {r6('any_value(e.n_hat) + sum(e.se * power(0.5, e.year - z.year) * g.fresh * z.z)', 'n_hat')}
-            FROM est e JOIN z ON z.stock = e.stock AND z.year <= e.year
-            JOIN g ON g.stock = z.stock AND g.year = z.year GROUP BY e.stock, z.rep, e.year""",
+        "minimum_abundance": f"SELECT stock, year, {r6('n_hat', 'n_hat')}, {r6('se', 'se')} FROM est",
+        "trend_slope": f"""SELECT area AS stock, {r6('regr_slope(n_hat, year)', 'slope')},
+            {r6('regr_intercept(n_hat, year)', 'intercept')} FROM js GROUP BY area""",
+        "abundance_draws": "SELECT stock, rep, year, round_even(n_hat, 3) + 0.0 AS n_hat FROM trend_draws",
         "trend_interval_stock": _interval("lines", "stock"),
         "trend_interval_pooled": _interval("pooled"),
-        "common_years": """SELECT count(*) AS years FROM (SELECT year FROM est GROUP BY year
-            HAVING count(n_hat) = (SELECT count(DISTINCT stock) FROM est WHERE n_hat IS NOT NULL))""",
+        "common_years": """SELECT count(*) AS years FROM (SELECT year FROM js GROUP BY year
+            HAVING count(n_hat) = (SELECT count(DISTINCT area) FROM js WHERE n_hat IS NOT NULL))""",
     }
     sql["report_theta"] = sql["theta"]
     statements = {name: query(body) for name, body in sql.items()}

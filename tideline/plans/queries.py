@@ -30,8 +30,6 @@ from tideline.sources import orders_as_sightings as source
 
 FIRST_YEAR, LAST_YEAR = 1996, 2001
 MOVEMENT_REPLICATES = 10
-BOOTSTRAP_REPLICATES = 10
-TREND_REPLICATES = 1000
 DECIMALS = 6
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -485,6 +483,11 @@ def _(s: Study) -> DataFrame:
     return recapture.parameter_ranges(s.jolly_seber()).withColumn("good_photo_percent", percent)
 
 
+@on_study("entry_parameters")
+def _(s: Study) -> DataFrame:
+    return recapture.entry_parameters(s.individual_years())
+
+
 @on_study("derived_abundance")
 def _(s: Study) -> DataFrame:
     return recapture.derived_abundance(recapture.entry_parameters(s.individual_years()))
@@ -492,7 +495,12 @@ def _(s: Study) -> DataFrame:
 
 @on_study("abundance_bootstrap")
 def _(s: Study) -> DataFrame:
-    return recapture.abundance_bootstrap(s.individual_years(), BOOTSTRAP_REPLICATES)
+    return s.abundance_replicates()
+
+
+@on_study("bootstrap_covariance")
+def _(s: Study) -> DataFrame:
+    return s.abundance_covariance()
 
 
 # Model tables
@@ -521,63 +529,52 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Abundance and trends
 
 
+@on_study("minimum_abundance")
+def _(s: Study) -> DataFrame:
+    return s.minimum_abundance()
+
+
 @on_study("corrected_abundance")
 def _(s: Study) -> DataFrame:
-    return trend.corrected_abundance(s.minimum_abundance(), s.theta())
+    return s.corrected_abundance()
 
 
 @on_study("report_abundance")
 def _(s: Study) -> DataFrame:
-    return reports.abundance(s, s.minimum_abundance())
+    return reports.abundance(s)
 
 
 @on_study("annual_growth")
 def _(s: Study) -> DataFrame:
-    return trend.annual_growth(trend.corrected_abundance(s.minimum_abundance(), s.theta()))
+    return trend.annual_growth(s.corrected_abundance())
 
 
 @on_study("mean_growth")
 def _(s: Study) -> DataFrame:
-    return trend.mean_growth(trend.annual_growth(trend.corrected_abundance(s.minimum_abundance(), s.theta())))
+    return trend.mean_growth(trend.annual_growth(s.corrected_abundance()))
 
 
 @on_study("trend_slope")
 def _(s: Study) -> DataFrame:
-    return trend.trend_slope(s.minimum_abundance())
-
-
-def _draws(s: Study, replicates: int) -> DataFrame:
-    estimates = s.minimum_abundance()
-    return trend.abundance_draws(estimates, trend.diagonal_factor(estimates), replicates)
+    return trend.trend_slope(s.jolly_seber().withColumnRenamed("area", "stock"))
 
 
 @on_study("abundance_draws")
 def _(s: Study) -> DataFrame:
-    """Draws under a covariance that falls off with the years between."""
-    estimates = s.minimum_abundance()
-    years = F.array_agg(F.struct("year", "se"))
-    pairs = estimates.join(estimates.groupBy("stock").agg(years.alias("others")), "stock").select(
-        "stock", F.col("year").alias("year_i"), F.col("se").alias("se_i"), F.inline("others").alias("year_j", "se_j")
-    )
-    covariance = pairs.select(
-        "stock",
-        "year_i",
-        "year_j",
-        (F.col("se_i") * F.col("se_j") * F.pow(F.lit(0.5), F.abs(F.col("year_i") - F.col("year_j")))).alias("cov"),
-    )
-    return trend.abundance_draws(estimates, trend.cholesky_factor(covariance), 50)
+    """To the accuracy that covariances of another order of addition leave."""
+    return s.abundance_draws().withColumn("n_hat", F.bround("n_hat", 3))
 
 
 @on_study("trend_interval_stock")
 def _(s: Study) -> DataFrame:
-    return trend.trend_interval_stock(_draws(s, TREND_REPLICATES))
+    return trend.trend_interval_stock(s.abundance_draws())
 
 
 @on_study("trend_interval_pooled")
 def _(s: Study) -> DataFrame:
-    return trend.trend_interval_pooled(_draws(s, TREND_REPLICATES), s.minimum_abundance())
+    return trend.trend_interval_pooled(s.abundance_draws(), s.jolly_seber().withColumnRenamed("area", "stock"))
 
 
 @on_study("common_years")
 def _(s: Study) -> DataFrame:
-    return trend.common_years(s.minimum_abundance())
+    return trend.common_years(s.jolly_seber().withColumnRenamed("area", "stock"))

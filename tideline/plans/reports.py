@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from tideline.operators import effort, models, trend
+from tideline.operators import effort, models
 from tideline.plans.study import Study
 
 
@@ -30,9 +30,8 @@ def proportion_distinctive(study: Study) -> DataFrame:
     return study.theta().orderBy("stock")
 
 
-def abundance(study: Study, estimates: DataFrame) -> DataFrame:
+def abundance(study: Study) -> DataFrame:
     """Table 5: corrected annual abundance with effort."""
-    annual = effort.annual_sightings(study.curated())
-    return trend.corrected_abundance(estimates, study.theta(), annual).select(
+    return study.corrected_abundance(effort.annual_sightings(study.curated())).select(
         "stock", "year", "n_hat", "se", "n_i", "varcond", "second", "cvcond", "lcl", "ucl", "sightings", "individuals"
     ).orderBy("stock", "year")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideline import fixed_values as fv
-from tideline.operators import curate, effort, proportion, recapture
+from tideline.operators import curate, effort, proportion, recapture, trend
 from tideline.sources.sinks import written
 
 
@@ -27,6 +27,8 @@ class Study:
     last_year: int = fv.LAST_YEAR
     skew: dict = field(default_factory=dict)
     keep: bool = False
+    bootstrap_replicates: int = fv.BOOTSTRAP_REPLICATES
+    trend_replicates: int = fv.TREND_REPLICATES
     _kept: dict = field(default_factory=dict, repr=False)
 
     @classmethod
@@ -72,6 +74,35 @@ class Study:
     def jolly_seber(self) -> DataFrame:
         return recapture.jolly_seber(recapture.occasion_statistics(self.individual_years()))
 
+    def abundance_replicates(self) -> DataFrame:
+        return recapture.abundance_bootstrap(self.individual_years(), self.bootstrap_replicates)
+
+    def abundance_covariance(self) -> DataFrame:
+        """Covariance of each stock's annual abundance between occasions, from resampled individuals."""
+        return self._once(
+            "abundance_covariance", lambda: recapture.bootstrap_covariance(self.abundance_replicates())
+        ).withColumnRenamed("area", "stock")
+
+    def abundance_estimates(self, covariance: DataFrame | None = None) -> DataFrame:
+        """Annual abundance per stock with its standard error; occasions without an estimate have nulls."""
+        covariance = self.abundance_covariance() if covariance is None else covariance
+        errors = covariance.filter("year_i = year_j").select(
+            "stock", F.col("year_i").alias("year"), F.sqrt("cov").alias("se")
+        )
+        estimates = self.jolly_seber().select(F.col("area").alias("stock"), "year", "n_hat")
+        return estimates.join(errors, ["stock", "year"], "left")
+
+    def corrected_abundance(self, annual: DataFrame | None = None) -> DataFrame:
+        return trend.corrected_abundance(self.abundance_estimates(), self.theta(), annual)
+
+    def abundance_draws(self) -> DataFrame:
+        """Draws of annual abundance under the covariance of the estimates."""
+        covariance = self.abundance_covariance()
+        factor = trend.covariance_factor(covariance.drop("replicates"))
+        # The draws need the estimates only, not their errors, which are in the factor.
+        estimates = self.jolly_seber().select(F.col("area").alias("stock"), "year", "n_hat")
+        return trend.abundance_draws(estimates, factor, self.trend_replicates)
+
     def minimum_abundance(self) -> DataFrame:
         """Individuals seen per stock and year with a counting error: estimates that need no model."""
         seen = effort.annual_sightings(self.curated()).filter(F.col("area").isin(fv.STOCKS))
