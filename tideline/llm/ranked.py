@@ -32,7 +32,7 @@ FOLDED = bytes(
 #: Terms of items that are searched for together; more items go through in several blocks.
 BLOCK_TERMS = 200_000
 #: Impacts of a task, tasks at most (then a task has more impacts; it reads them batch by batch), vectors of a bucket.
-PIECE_IMPACTS, PIECES, BUCKET_ROWS = 2_000_000, 50_000, 4096
+PIECE_IMPACTS, PIECES, BUCKET_ROWS = 500_000, 50_000, 4096
 #: Length classes per doubling of the length.
 CLASSES = 4
 #: Shares of the vectors, longest first, that are done by the end of each wave.
@@ -199,7 +199,7 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
     held: list[pa.RecordBatch] = []
     for batch in batches:
         held.append(batch)
-        if sum(b.num_rows for b in held) >= BUCKET_ROWS or sum(b.nbytes for b in held) >= 12 * PIECE_IMPACTS:
+        if sum(b.num_rows for b in held) >= BUCKET_ROWS or sum(b.nbytes for b in held) >= 48 * PIECE_IMPACTS:
             yield pa.Table.from_batches(held).combine_chunks()
             held = []
     if held and sum(b.num_rows for b in held):
