@@ -83,13 +83,37 @@ def test_explode_range_crosses_blocks(spark):
 def test_number_at_random_is_row_number(spark):
     df = spark.range(5000).select("id", (F.col("id") % 3).alias("g"))
     key = draws.order_key(5, F.col("id"))
-    got = spread.number_at_random(df, ["g"], key)
     want = df.withColumn("position", F.row_number().over(Window.partitionBy("g").orderBy(key)))
-    assert sorted((r.id, r.position) for r in got.collect()) == sorted((r.id, r.position) for r in want.collect())
+    sizes = df.groupBy("g").agg(F.count("*").alias("n"))
+    for rows_per_slice in (100, 1700, 10_000):
+        got = spread.number_at_random(df, ["g"], key, sizes, rows_per_slice)
+        assert sorted((r.id, r.position) for r in got.collect()) == sorted((r.id, r.position) for r in want.collect())
+
+
+def test_replicates_are_dealt_after_an_aggregate_of_the_same_keys(spark):
+    """The exchange that deals rows is one of its own: adaptive execution may not merge it into one task."""
+    few = spark.range(200).selectExpr("id % 50 AS k").groupBy("k").count()
+    repeated = spread.repeat(few, "rep", 1, 100, "k")
+    assert repeated.select(F.spark_partition_id().alias("p")).distinct().count() > 4
+    assert repeated.count() == 5000
+
+
+def test_samples_of_large_groups_are_even(spark):
+    """Groups cut into slices: one row per group and replicate, each row with the same chance."""
+    rows = spark.range(40).selectExpr("'a' AS area", "7 AS individual_id", "2000 AS year", "id AS row_seq", "1.0D AS lat", "2.0D AS lon")
+    rows = rows.unionByName(rows.limit(1).selectExpr("area", "8 AS individual_id", "year", "row_seq + 100 AS row_seq", "lat", "lon"))
+    got = movement.sample_one_per_year(rows, 4000, rows_per_slice=6)
+    counts = Counter(r.row_seq for r in got.filter("individual_id = 7").collect())
+    assert sum(counts.values()) == 4000 and len(counts) == 40
+    assert sum((n - 100) ** 2 / 100 for n in counts.values()) < 80
+    assert got.filter("individual_id = 8").count() == 4000
 
 
 def test_permutation_keeps_individuals_of_each_year(spark, sf_dir):
     rows = movement.positions(study(spark, sf_dir).curated())
+    sliced = movement.permute_within_year(rows, 4, rows_per_slice=5).collect()
+    own, drawn = (Counter((r.area, r.rep, r.year, r[c]) for r in sliced) for c in ("individual_id", "drawn_id"))
+    assert own == drawn and max(own.values()) == 1
     got = movement.permute_within_year(rows, 4).collect()
     own = Counter((r.area, r.rep, r.year, r.individual_id) for r in got)
     drawn = Counter((r.area, r.rep, r.year, r.drawn_id) for r in got)

@@ -12,6 +12,9 @@ from tideline.operators import curate, ranktest
 from tideline.operators.spread import number_at_random, repeat
 
 TRUTH, TEST = "truth", "test"
+WHO = ["area", "individual_id", "year"]
+#: Rows of a group that one array or one window holds; larger groups are cut into slices.
+ROWS_PER_SLICE = 20_000
 
 
 def positions(curated: DataFrame, stocks: list[str] = fv.STOCKS) -> DataFrame:
@@ -21,32 +24,63 @@ def positions(curated: DataFrame, stocks: list[str] = fv.STOCKS) -> DataFrame:
     )
 
 
-def sample_one_per_year(rows: DataFrame, replicates: int, seed: int = fv.SEED, first: int = 1) -> DataFrame:
-    """One position per individual, area, year and replicate, drawn at random.
+def yearly_positions(rows: DataFrame, rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
+    """The positions of each area, individual and year as one array, in file order.
 
-    The draw is the row with the smallest random key: an aggregate with map-side
-    combine, so the rows of one individual are never gathered.
+    Groups of more rows than ``rows_per_slice`` come in several rows, numbered by ``slice``, each with a part of
+    the positions; there are at most (rows / ``rows_per_slice``) such groups, which are broadcast. ``slice`` is
+    null for all others.
     """
-    keyed = repeat(rows, "rep", first, replicates, "row_seq").withColumn(
-        "_draw", draws.order_key(seed, "pick", F.col("rep"), F.col("row_seq"))
+    large = (
+        rows.groupBy(*WHO)
+        .agg(F.count("*").alias("n"))
+        .filter(F.col("n") > rows_per_slice)
+        .select(*WHO, F.ceil(F.col("n") / rows_per_slice).alias("slices"))
     )
-    return keyed.groupBy("area", "rep", "year", "individual_id").agg(
-        *[F.min_by(c, "_draw").alias(c) for c in ("row_seq", "lat", "lon")]
+    dealt = rows.join(F.broadcast(large), WHO, "left").withColumn("slice", F.pmod(F.xxhash64("row_seq"), F.col("slices")))
+    points = F.array_sort(F.collect_list(F.struct("row_seq", "lat", "lon")))
+    return dealt.groupBy(*WHO, "slice").agg(points.alias("points"))
+
+
+def sample_one_per_year(
+    rows: DataFrame, replicates: int, seed: int = fv.SEED, first: int = 1, rows_per_slice: int = ROWS_PER_SLICE
+) -> DataFrame:
+    """One position per individual, area, year and replicate, drawn at random.
+
+    Rows are gathered once into arrays, and a replicate draws a place in one: work and rows grow with the
+    replicates times the yearly groups, not times the rows. Of the slices of a large group one wins a race in
+    which each runs as fast as it is long, so that every row has the same chance.
+    """
+    groups = yearly_positions(rows, rows_per_slice)
+
+    def drawn(part: DataFrame, *more: str) -> DataFrame:
+        repeated = repeat(part, "rep", first, replicates, *WHO, *more)
+        u = draws.uniform(seed, "pick", F.col("rep"), *[F.col(c) for c in (*WHO, *more)])
+        point = F.get("points", F.floor(u * F.size("points")).cast("int"))
+        return repeated.withColumn("point", point)
+
+    whole = drawn(groups.filter(F.col("slice").isNull())).select("area", "rep", "year", "individual_id", "point")
+    speed = draws.uniform(seed, "race", *[F.col(c) for c in ("rep", *WHO, "slice")])
+    sliced = drawn(groups.filter(F.col("slice").isNotNull()), "slice").withColumn(
+        "race", -F.log(1 - speed) / F.size("points")
     )
+    winners = sliced.groupBy("area", "rep", "year", "individual_id").agg(F.min_by("point", "race").alias("point"))
+    return whole.unionByName(winners).select("area", "rep", "year", "individual_id", "point.*")
 
 
-def permute_within_year(rows: DataFrame, replicates: int, seed: int = fv.SEED) -> DataFrame:
+def permute_within_year(
+    rows: DataFrame, replicates: int, seed: int = fv.SEED, rows_per_slice: int = ROWS_PER_SLICE
+) -> DataFrame:
     """One position per individual, year and replicate, with ``drawn_id``: an individual of the
     same area and year, drawn without replacement.
 
     The individuals of an area and year are put in a random order in every replicate and
     in one more, numbered 0. The individual at the same place of order 0 is the drawn one.
     """
-    picks = sample_one_per_year(rows, replicates, seed, first=0).drop("row_seq")
-    who = ["area", "year", "individual_id"]
-    members = repeat(rows.select(*who).distinct(), "rep", 0, replicates, *who)
-    order = draws.order_key(seed, "place", *[F.col(c) for c in ("rep", *who)])
-    numbered = number_at_random(picks, ["area", "rep", "year"], order, members)
+    picks = sample_one_per_year(rows, replicates, seed, 0, rows_per_slice).drop("row_seq")
+    members = rows.select(*WHO).distinct().groupBy("area", "year").agg(F.count("*").alias("n"))
+    order = draws.order_key(seed, "place", *[F.col(c) for c in ("rep", "area", "year", "individual_id")])
+    numbered = number_at_random(picks, ["area", "rep", "year"], order, members, rows_per_slice)
     same_place = Window.partitionBy("area", "year", "position")
     drawn = F.max(F.when(F.col("rep") == 0, F.col("individual_id"))).over(same_place)
     return numbered.withColumn("drawn_id", drawn).filter("rep > 0").drop("position")

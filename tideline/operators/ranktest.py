@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -18,9 +18,12 @@ def rank_sum(
     ``frequencies`` has columns stratum, ``type``, value and ``n``: rows are added up per
     distinct value before ranking, and only distinct values are sorted. These are few: years
     seen, or one mean per replicate. Ties get mid-ranks; the variance is corrected for ties
-    and the statistic for continuity.
+    and the statistic for continuity. ``n`` may be a weight that is no whole number, such as an
+    expected frequency: a value of weight t then takes the ranks from the weight below it on, t of them.
+    ``n_x`` and ``n_y`` have the type of ``n``, long or double.
     """
     in_x, in_y = F.col("type") == x, F.col("type") == y
+    size = "double" if frequencies.schema["n"].dataType.typeName() in ("double", "float") else "bigint"
     values = (
         frequencies.filter(in_x | in_y)
         .groupBy(stratum, value)
@@ -41,7 +44,7 @@ def rank_sum(
             F.sum("n_x").cast("double").alias("m"),
             (F.sum("ties") - F.sum("n_x")).cast("double").alias("n"),
             F.sum(F.col("n_x") * F.col("mid_rank")).alias("rank_x"),
-            F.sum(F.pow("ties", F.lit(3)) - F.col("ties")).alias("tie_sum"),
+            F.sum(F.pow(F.col("ties").cast("double"), F.lit(3.0)) - F.col("ties")).alias("tie_sum"),
         )
         .withColumn("w", F.col("rank_x") - m * (m + 1) / 2)
         .withColumn("centred", F.col("w") - m * n / 2)
@@ -54,8 +57,8 @@ def rank_sum(
     p = {"two.sided": both, "less": below, "greater": above}[alternative]
     return tested.select(
         stratum,
-        m.cast("bigint").alias("n_x"),
-        n.cast("bigint").alias("n_y"),
+        m.cast(size).alias("n_x"),
+        n.cast(size).alias("n_y"),
         "w",
         "z",
         p.alias("p_value"),
@@ -70,14 +73,26 @@ def histogram(
     upper: float = fv.HISTOGRAM_MAX_KM,
     bins: int = fv.HISTOGRAM_BINS,
 ) -> DataFrame:
-    """Counts in bins over 0 .. ``upper``, centred on multiples of the width; values outside are left out."""
+    """Counts in all bins over 0 .. ``upper``, centred on multiples of the width; values outside are left out.
+
+    Every distribution has every bin, empty ones with 0. The counts of one distribution are a short map, from which
+    the range of bins is read, so nothing is joined.
+    """
     width = upper / (bins - 1)
     bin_index = F.greatest(F.ceil(F.col(value) / width - 0.5), F.lit(0)).cast("int")
+    inside = F.when(F.col(value).between(0, upper), bin_index)
+    counted = values.groupBy(*groups, inside.alias("bin")).agg(F.count("*").alias("n"))
+    entries = F.collect_list(F.when(F.col("bin").isNotNull(), F.struct("bin", "n")))
     return (
-        values.filter(F.col(value).between(0, upper))
-        .groupBy(*groups, bin_index.alias("bin"))
-        .agg(F.count("*").alias("n"))
-        .withColumn("centre", F.col("bin") * width)
+        counted.groupBy(*groups)
+        .agg(F.map_from_entries(entries).alias("counts"))
+        .withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
+        .select(
+            *groups,
+            "bin",
+            F.coalesce(F.try_element_at("counts", F.col("bin")), F.lit(0).cast("bigint")).alias("n"),
+            (F.col("bin") * width).alias("centre"),
+        )
     )
 
 
@@ -86,23 +101,39 @@ def density(
 ) -> DataFrame:
     """Gaussian kernel density of each sample, on an even grid over the range of the stratum.
 
-    ``frequencies`` has one row per distinct value; these are few (years seen), so each
-    sample is one row with an array of values.
+    Few distinct values (years seen) are expected, so each sample is one row with an array of values.
+    ``n`` may be a weight that is no whole number; variance and quartiles count with it.
     """
-    v, n = F.col(value).cast("double"), F.col("n")
+    v, n = F.col(value).cast("double"), F.col("n").cast("double")
+
+    def quantile(q: float) -> Column:
+        """Between the values at ranks k and k + 1 around 1 + q (size - 1); that at a rank is the first whose weight
+        and those below add up to it. With whole weights this is the linear rule on the sample written out."""
+        rank = 1 + q * (F.col("size") - 1)
+
+        def at(k: Column) -> Column:
+            reached = F.filter("values", lambda e: e["upto"] >= k - 1e-9)
+            return F.coalesce(F.get(reached, F.lit(0))["v"], F.col("most"))
+
+        low = at(F.floor(rank))
+        return low + (at(F.floor(rank) + 1) - low) * (rank - F.floor(rank))
+
     samples = (
-        frequencies.groupBy(stratum, "type")
+        frequencies.filter(F.col("n") > 0)
+        .groupBy(stratum, "type", v.alias("v"))
+        .agg(F.sum(n).alias("n"))
+        .withColumn("upto", F.sum("n").over(Window.partitionBy(stratum, "type").orderBy("v")))
+        .groupBy(stratum, "type")
         .agg(
-            F.sum("n").cast("double").alias("size"),
-            F.sum(n * v).alias("sum_v"),
-            F.sum(n * v * v).alias("sum_v2"),
-            F.percentile(v, F.array(F.lit(0.25), F.lit(0.75)), n).alias("quartiles"),
-            F.min(v).alias("least"),
-            F.max(v).alias("most"),
-            F.array_sort(F.collect_list(F.struct(v.alias("v"), n.alias("n")))).alias("values"),
+            F.sum("n").alias("size"),
+            F.sum(F.col("n") * F.col("v")).alias("sum_v"),
+            F.sum(F.col("n") * F.col("v") * F.col("v")).alias("sum_v2"),
+            F.min("v").alias("least"),
+            F.max("v").alias("most"),
+            F.array_sort(F.collect_list(F.struct("v", "n", "upto"))).alias("values"),
         )
         .withColumn("sd", F.sqrt((F.col("sum_v2") - F.col("sum_v") * F.col("sum_v") / F.col("size")) / F.expr("nullif(size - 1, 0)")))
-        .withColumn("spread", F.least("sd", (F.col("quartiles")[1] - F.col("quartiles")[0]) / 1.34))
+        .withColumn("spread", F.least("sd", (quantile(0.75) - quantile(0.25)) / 1.34))
         .withColumn("scale", F.expr("coalesce(nullif(spread, 0), nullif(sd, 0), nullif(abs(least), 0), 1)"))
         .withColumn("bandwidth", F.when(F.col("size") > 1, 0.9 * F.col("scale") * F.pow("size", F.lit(-0.2))))
     )

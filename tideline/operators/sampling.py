@@ -1,4 +1,7 @@
-"""Do individuals turn up in more or fewer years than random sampling would give?"""
+"""Do individuals turn up in more or fewer years than random sampling would give?
+
+The frequencies under random sampling are computed, not drawn: a table of at most (years)^3 rows per stratum.
+"""
 
 from __future__ import annotations
 
@@ -6,9 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideline import fixed_values as fv
-from tideline.functions import draws, expr
+from tideline.functions import expr
 from tideline.operators import ranktest
-from tideline.operators.spread import explode_range
 
 OBSERVED, RANDOM = "annual.sight", "random.sample"
 
@@ -37,44 +39,64 @@ def observed_years(curated: DataFrame, stratum: str) -> DataFrame:
     )
 
 
-def random_years(
+def expected_years(
     params: DataFrame,
     stratum: str,
     survival: float = fv.NULL_SURVIVAL,
     detection: float = fv.NULL_DETECTION,
-    seed: int = fv.SEED,
 ) -> DataFrame:
-    """The same under random sampling: equal cohorts enter in every year but the last.
+    """The same under random sampling, in expectation: equal cohorts enter in every year but the last.
 
-    Each later year an individual survives and, alive, is detected with fixed
-    probabilities. Its first failure to survive ends its detections.
+    Each later year an individual survives and, alive, is detected with fixed probabilities; its first failure
+    to survive ends its detections. A cohort with L years to come is alive for exactly s of them with probability
+    survival^s (1 - survival), or survival^L for all; of s years it is detected in d with the binomial
+    probability. ``n`` is the expected number of individuals seen in ``value`` = 1 + d years, not a whole number.
     """
-    cohorts = params.withColumn("cohort", F.explode(F.sequence(F.lit(1), F.greatest(F.col("n_occasions") - 1, F.lit(1)))))
-    individuals = explode_range(cohorts, "individual", F.col("n_original"))
-
-    def draw(what, occasion):
-        return draws.uniform(seed, what, F.col(stratum), F.col("cohort"), F.col("individual"), occasion)
-
-    later = F.when(
-        F.col("n_occasions") > F.col("cohort"), F.sequence(F.col("cohort") + 1, F.col("n_occasions"))
-    ).otherwise(F.array().cast("array<bigint>"))
-    deaths = F.filter(later, lambda t: draw("survive", t) >= survival)
-    death = F.col("death")
-    years_alive = F.when(death.isNull(), F.col("n_occasions") - F.col("cohort")).otherwise(death - F.col("cohort") - 1)
-    detected = F.filter(F.slice(later, F.lit(1), years_alive.cast("int")), lambda t: draw("detect", t) < detection)
+    years_left = F.when(F.col("n_occasions") > 1, F.sequence(F.lit(1), F.col("n_occasions") - 1)).otherwise(
+        F.array(F.lit(0).cast("bigint"))
+    )
+    cohorts = params.filter("n_original > 0").select(stratum, "n_original", F.explode(years_left).alias("later"))
+    alive = cohorts.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("later"))).alias("s"))
+    stays = F.when(F.col("s") < F.col("later"), F.lit(1.0 - survival)).otherwise(1.0)
+    lived = alive.withColumn("share", F.pow(F.lit(survival), F.col("s").cast("double")) * stays)
+    # C(s, d) p^d q^(s - d) for d = 0 .. s, each from the one before.
+    odds = detection / (1 - detection)
+    start = F.struct(
+        F.pow(F.lit(1.0 - detection), F.col("s").cast("double")).alias("last"),
+        F.array(F.pow(F.lit(1.0 - detection), F.col("s").cast("double"))).alias("all"),
+    )
+
+    def step(state, d):
+        following = state["last"] * (F.col("s") - d + 1) / d * odds
+        return F.struct(following.alias("last"), F.concat(state["all"], F.array(following)).alias("all"))
+
+    steps = F.when(F.col("s") > 0, F.sequence(F.lit(1).cast("bigint"), F.col("s"))).otherwise(F.array().cast("array<bigint>"))
+    binomial = F.aggregate(steps, start, step, lambda state: state["all"])
     return (
-        individuals.withColumn("death", F.try_element_at(deaths, F.lit(1)))
-        .groupBy(stratum, (F.size(detected) + 1).cast("bigint").alias("value"))
-        .agg(F.count("*").alias("n"))
+        lived.select(stratum, "n_original", "share", F.posexplode(binomial).alias("d", "chance"))
+        .groupBy(stratum, (F.col("d") + 1).cast("bigint").alias("value"))
+        .agg(F.sum(F.col("n_original") * F.col("share") * F.col("chance")).alias("n"))
     )
 
 
+def named_strata(frequencies: DataFrame, stratum: str) -> DataFrame:
+    """Without the rows of the text ``NA``, which stands for positions outside of every subarea."""
+    return frequencies.filter(F.col(stratum) != fv.NO_SUBAREA)
+
+
 def resight_frequencies(curated: DataFrame, stratum: str, **null_model) -> DataFrame:
-    """Observed and random numbers of years seen, as frequencies per stratum and type."""
-    observed = observed_years(curated, stratum).withColumn("type", F.lit(OBSERVED))
-    null = random_years(occasion_params(curated, stratum), stratum, **null_model).withColumn("type", F.lit(RANDOM))
-    return observed.unionByName(null)
+    """Observed and expected numbers of individuals by years seen, per named stratum and type."""
+    observed = observed_years(curated, stratum).select(
+        stratum, "value", F.col("n").cast("double").alias("n"), F.lit(OBSERVED).alias("type")
+    )
+    null = expected_years(occasion_params(curated, stratum), stratum, **null_model).withColumn("type", F.lit(RANDOM))
+    return named_strata(observed.unionByName(null), stratum)
 
 
 def random_sampling_test(frequencies: DataFrame, stratum: str) -> DataFrame:
+    """Rank-sum test of the observed years seen against the expected ones, whose frequencies are fractions.
+
+    Mid-ranks, ties and sizes count each expected individual with its weight, as if the null sample had been drawn
+    without end and scaled to its size.
+    """
     return ranktest.rank_sum(frequencies, stratum, OBSERVED, RANDOM)

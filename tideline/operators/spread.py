@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 BLOCK = 1000
-SLICE_BITS = 8
 
 
 def _tasks(df: DataFrame) -> int:
@@ -48,27 +47,33 @@ def explode_range(df: DataFrame, name: str, last: Column | int, block: int = BLO
 
 
 def number_at_random(
-    df: DataFrame, groups: list[str], key: Column, members: DataFrame | None = None, name: str = "position"
+    df: DataFrame, groups: list[str], key: Column, sizes: DataFrame, rows_per_slice: int, name: str = "position"
 ) -> DataFrame:
     """Number the rows of each group 1 .. n in the order of ``key``, a 60-bit random order key.
 
-    A group may be large: it is cut into equal slices of the key's range, rows are
-    numbered inside each slice, and the sizes of the slices before are added.
-    ``members`` has the rows of ``df`` as far as ``groups`` and ``key`` need them, where
-    counting those is cheaper.
+    ``sizes`` has the rows ``n`` per group, by some of the group columns, and few rows. A group of more than
+    ``rows_per_slice`` rows is cut into so many slices of the key's range that they hold about that many each;
+    its rows are numbered inside each slice, and the sizes of the slices before are added. Only such groups
+    are counted.
     """
-    in_slice = F.shiftright(key, 60 - SLICE_BITS).alias("_slice")
+    by = [c for c in groups if c in sizes.columns]
+    slices = sizes.select(*by, F.ceil(F.col("n") / rows_per_slice).cast("bigint").alias("_slices"))
+    place = F.floor(F.col("_key") / float(1 << 60) * F.col("_slices")).cast("bigint")
+    keyed = (
+        df.select("*", key.alias("_key"))
+        .join(F.broadcast(slices), by)
+        .select(*df.columns, "_key", "_slices", F.least(place, F.col("_slices") - 1).alias("_slice"))
+    )
     before = Window.partitionBy(*groups).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        (df if members is None else members)
-        .groupBy(*groups, in_slice)
+        keyed.filter("_slices > 1")
+        .groupBy(*groups, "_slice")
         .agg(F.count("*").alias("_n"))
         .select(*groups, "_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
     )
     inside = Window.partitionBy(*groups, "_slice").orderBy("_key")
     return (
-        df.select("*", key.alias("_key"), in_slice)
-        .select("*", F.row_number().over(inside).alias("_rank"))
-        .join(offsets, [*groups, "_slice"])
-        .select(*df.columns, (F.col("_offset") + F.col("_rank")).alias(name))
+        keyed.select(*df.columns, "_slice", F.row_number().over(inside).alias("_rank"))
+        .join(offsets, [*groups, "_slice"], "left")
+        .select(*df.columns, (F.coalesce("_offset", F.lit(0)) + F.col("_rank")).alias(name))
     )

@@ -199,23 +199,18 @@ for _name, _source, _stratum in (("area", "curated", "area"), ("sub", "stratifie
       CAST(round_even(avg(CASE WHEN o > 0 THEN o END), 0) AS BIGINT) AS n_original FROM (
       SELECT {_stratum}, year, count(*) FILTER (sight_type = 'Original') AS o FROM {_source}
       WHERE {_stratum} IS NOT NULL GROUP BY ALL) GROUP BY {_stratum}"""
-    TABLES[f"null_{_name}"] = f"""
-      WITH ind AS (SELECT s, n_occasions, cohort, individual FROM params_{_name},
-          unnest(range(1, greatest(n_occasions - 1, 1) + 1)) c(cohort), unnest(range(1, n_original + 1)) i(individual)),
-        later AS (SELECT *, {uniform("'survive'", "s", "cohort", "individual", "t")} < 0.9 AS lives,
-            {uniform("'detect'", "s", "cohort", "individual", "t")} < 0.4 AS found
-          FROM ind, unnest(range(cohort + 1, n_occasions + 1)) o(t)),
-        alive AS (SELECT *, bool_and(lives) OVER (PARTITION BY s, cohort, individual ORDER BY t) AS alive FROM later)
-      SELECT i.s, 1 + count(*) FILTER (a.alive AND a.found) AS value
-      FROM ind i LEFT JOIN alive a USING (s, cohort, individual) GROUP BY i.s, i.cohort, i.individual"""
-    TABLES[f"resights_{_name}"] = f"""
-      SELECT s, 'random.sample' AS type, value, count(*) AS n FROM null_{_name} GROUP BY ALL
-      UNION ALL SELECT s, 'annual.sight', value, count(*) FROM (
+    TABLES[f"null_{_name}"] = f"""SELECT s, 1 + d AS value, sum(n_original * power(0.9, alive) * CASE WHEN alive < n_occasions - cohort
+        THEN 1 - 0.9 ELSE 1 END * factorial(alive::INT) / (factorial(d::INT) * factorial((alive - d)::INT)) * power(0.4, d) * power(0.6, alive - d)) AS n
+      FROM params_{_name}, unnest(range(1, greatest(n_occasions - 1, 1) + 1)) c(cohort),
+        unnest(range(0, n_occasions - cohort + 1)) a(alive), unnest(range(0, alive + 1)) h(d) GROUP BY s, d"""
+    TABLES[f"resights_{_name}"] = f"""SELECT * FROM (
+      SELECT s, 'random.sample' AS type, value, n FROM null_{_name} WHERE n > 0
+      UNION ALL SELECT s, 'annual.sight', value, count(*)::DOUBLE FROM (
         SELECT {_stratum} AS s, individual_id, count(DISTINCT year) AS value FROM {_source}
-        WHERE {_stratum} IS NOT NULL GROUP BY ALL) GROUP BY s, value"""
+        WHERE {_stratum} IS NOT NULL GROUP BY ALL) GROUP BY s, value) WHERE s <> 'NA'"""
 
 
-def rank_sum(source: str, x: str, y: str, stratum: str, alternative: str) -> str:
+def rank_sum(source: str, x: str, y: str, stratum: str, alternative: str, whole: bool = True) -> str:
     """Rank-sum test of a table (s, type, value, n), one row per value unit."""
     shift = {"two.sided": "0.5 * sign(w - m * k / 2)", "less": "-0.5"}[alternative]
     both = "CASE WHEN below IS NOT NULL THEN least(1.0, 2 * least(below, 1 - below)) END"
@@ -232,7 +227,7 @@ def rank_sum(source: str, x: str, y: str, stratum: str, alternative: str) -> str
           FROM st),
         bt AS (SELECT *, {NORMAL_CDF} AS below FROM zt),
         pt AS (SELECT *, {p} AS p_value FROM bt)
-      SELECT s AS {stratum}, m::BIGINT AS n_x, k::BIGINT AS n_y, {r6('w', 'w')}, {r6('zz', 'z')},
+      SELECT s AS {stratum}, {'m::BIGINT AS n_x, k::BIGINT AS n_y' if whole else r6('m', 'n_x') + ', ' + r6('k', 'n_y')}, {r6('w', 'w')}, {r6('zz', 'z')},
         {r6('abs(p_value)', 'p_value')}, {label} AS label FROM pt"""
 
 
@@ -240,9 +235,10 @@ _WHO = ("rep", "area", "year", "individual_id")
 TABLES |= {
     "positions": f"""SELECT area, individual_id, year, row_seq, lat, lon FROM curated
       WHERE area IN {_STOCKS} AND lon IS NOT NULL AND lat IS NOT NULL""",
-    "picks": f"""SELECT * FROM positions, unnest(range(0, {MOVES} + 1)) r(rep)
-      QUALIFY row_number() OVER (PARTITION BY area, rep, year, individual_id
-        ORDER BY {order_key("'pick'", "rep", "row_seq")}, row_seq) = 1""",
+    "places": """SELECT *, row_number() OVER w - 1 AS place, count(*) OVER (PARTITION BY area, individual_id, year) AS n
+      FROM positions WINDOW w AS (PARTITION BY area, individual_id, year ORDER BY row_seq)""",
+    "picks": f"""SELECT * EXCLUDE (place, n) FROM places, unnest(range(0, {MOVES} + 1)) r(rep)
+      WHERE place = floor({uniform("'pick'", "rep", "area", "individual_id", "year")} * n)""",
     "numbered": f"""SELECT *, row_number() OVER (PARTITION BY area, rep, year
         ORDER BY {order_key("'place'", *_WHO)}) AS pos FROM picks""",
     "owned": """SELECT area, rep, 'truth' AS type, individual_id, year, lat, lon FROM picks WHERE rep > 0
@@ -541,25 +537,30 @@ def oracle_sql() -> dict[str, str]:
         " count(*) AS value FROM curated GROUP BY ALL)"
         + rank_sum("SELECT s, type, value, 1 AS n FROM sig", "early", "late", "area", "two.sided"),
         "random_sampling_test_area": rank_sum(
-            "SELECT * FROM resights_area", "annual.sight", "random.sample", "area", "two.sided"
+            "SELECT * FROM resights_area", "annual.sight", "random.sample", "area", "two.sided", whole=False
         ),
         "random_sampling_test_subarea": rank_sum(
-            "SELECT * FROM resights_sub", "annual.sight", "random.sample", "subarea", "two.sided"
+            "SELECT * FROM resights_sub", "annual.sight", "random.sample", "subarea", "two.sided", whole=False
         ),
         "resight_density": f"""
-            , units AS (SELECT s, type, unnest(list_resize([value::DOUBLE], n, value)) AS v FROM resights_area),
-              samples AS (SELECT s, type, count(*)::DOUBLE AS size, stddev_samp(v) AS sd,
-                (quantile_cont(v, 0.75) - quantile_cont(v, 0.25)) / 1.34 AS iq, min(v) AS least FROM units GROUP BY ALL),
-              widths AS (SELECT *, 0.9 * coalesce(nullif(least(sd, iq), 0), nullif(sd, 0), nullif(abs(least), 0), 1)
-                * power(size, -0.2) AS bw FROM samples),
-              ends AS (SELECT s, min(v) AS lo, max(v) AS hi FROM units GROUP BY s),
+            , upto AS (SELECT *, sum(n) OVER (PARTITION BY s, type ORDER BY value) AS upto FROM resights_area),
+              sizes AS (SELECT s, type, sum(n) AS size, sum(n * value) / sum(n) AS mean FROM resights_area GROUP BY ALL),
+              ranks_at AS (SELECT *, 1 + 0.25 * (size - 1) AS q1, 1 + 0.75 * (size - 1) AS q3 FROM sizes),
+              samples AS (SELECT u.s, u.type, any_value(size) AS size,
+                sqrt(sum(n * power(value - mean, 2)) / nullif(any_value(size) - 1, 0)) AS sd, min(value) AS least,
+                {', '.join(f"coalesce(min(value) FILTER (upto >= floor({q}) + {k} - 1e-9), max(value)) AS {q}{k}" for q in ('q1', 'q3') for k in (0, 1))},
+                any_value(q1 - floor(q1)) AS f1, any_value(q3 - floor(q3)) AS f3
+                FROM upto u JOIN ranks_at p ON p.s = u.s AND p.type = u.type GROUP BY u.s, u.type),
+              widths AS (SELECT *, 0.9 * coalesce(nullif(least(sd, (q30 + (q31 - q30) * f3 - q10 - (q11 - q10) * f1) / 1.34), 0),
+                nullif(sd, 0), nullif(abs(least), 0), 1) * power(size, -0.2) AS bw FROM samples),
+              ends AS (SELECT s, min(value) AS lo, max(value) AS hi FROM resights_area GROUP BY s),
               grid AS (SELECT s, point, lo + point * ((hi - lo) / 511) AS x FROM ends, unnest(range(0, 512)) g(point))
             SELECT g.s AS area, w.type, g.point::INT AS point, {r6('g.x', 'x')},
               {r6('sum(r.n * exp(-power((g.x - r.value) / w.bw, 2) / 2)) / (any_value(w.size) * any_value(w.bw) * sqrt(2 * pi()))', 'density')}
             FROM grid g JOIN widths w USING (s) JOIN resights_area r ON r.s = g.s AND r.type = w.type
             GROUP BY g.s, w.type, g.point, g.x""",
         "sample_one_per_key": f"""SELECT area, rep::INT AS rep, year, individual_id, row_seq, {r6('lat', 'lat')},
-            {r6('lon', 'lon')} FROM picks WHERE rep BETWEEN 1 AND 3""",
+            {r6('lon', 'lon')} FROM picks WHERE rep = 1""",
         "pair_distance": f"""SELECT area, rep::INT AS rep, individual_id,
             (SELECT count(DISTINCT year)::INT FROM positions q WHERE q.area = p.area AND q.individual_id = p.individual_id)
               AS n_years, {r6('km', 'mean_km')} FROM pairs p WHERE type = 'truth' AND rep = 1""",
@@ -568,10 +569,11 @@ def oracle_sql() -> dict[str, str]:
         "movement_test": rank_sum(
             "SELECT area AS s, type, mean_km AS value, 1 AS n FROM moves", "truth", "test", "area", "less"
         ),
-        "movement_histogram": """SELECT area, type, greatest(ceil(mean_km / (30 / 149.0::DOUBLE) - 0.5), 0)::INT AS bin,
-            count(*) AS n, round_even(any_value(greatest(ceil(mean_km / (30 / 149.0::DOUBLE) - 0.5), 0))
-            * (30 / 149.0::DOUBLE), 6) + 0.0 AS centre FROM moves WHERE mean_km BETWEEN 0 AND 30
-            GROUP BY area, type, bin""",
+        "movement_histogram": f"""SELECT g.area, g.type, b.bin::INT AS bin, count(m.mean_km) AS n,
+            {r6('any_value(b.bin * (30 / 149.0::DOUBLE))', 'centre')}
+            FROM (SELECT DISTINCT area, type FROM moves) g CROSS JOIN range(0, 150) b(bin)
+            LEFT JOIN moves m ON m.area = g.area AND m.type = g.type AND m.mean_km BETWEEN 0 AND 30
+              AND greatest(ceil(m.mean_km / (30 / 149.0::DOUBLE) - 0.5), 0) = b.bin GROUP BY g.area, g.type, b.bin""",
         "occasion_gaps": """SELECT area, year, gap FROM (SELECT area, year,
             year - lag(year) OVER (PARTITION BY area ORDER BY year) AS gap FROM occ) WHERE gap IS NOT NULL""",
         "capture_history": """SELECT s.area, s.individual_id, s.subarea,

@@ -29,7 +29,6 @@ from tideline.plans.study import Study
 from tideline.sources import orders_as_sightings as source
 
 FIRST_YEAR, LAST_YEAR = 1996, 2001
-MOVEMENT_REPLICATES = 10
 DECIMALS = 6
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -409,7 +408,7 @@ def _(s: Study) -> DataFrame:
 
 @on_study("sample_one_per_key")
 def _(s: Study) -> DataFrame:
-    return movement.sample_one_per_year(movement.positions(s.curated()), 3)
+    return movement.sample_one_per_year(movement.positions(s.curated()), 1)
 
 
 @on_study("pair_distance")
@@ -420,22 +419,22 @@ def _(s: Study) -> DataFrame:
 
 @on_study("movement_truth")
 def _(s: Study) -> DataFrame:
-    return movement.observed_distances(s.curated(), MOVEMENT_REPLICATES)
+    return movement.observed_distances(s.curated())
 
 
 @on_study("movement_null")
 def _(s: Study) -> DataFrame:
-    return movement.movement_distances(s.curated(), MOVEMENT_REPLICATES).filter(F.col("type") == movement.TEST)
+    return movement.movement_distances(s.curated()).filter(F.col("type") == movement.TEST)
 
 
 @on_study("movement_test")
 def _(s: Study) -> DataFrame:
-    return movement.movement_test(movement.movement_distances(s.curated(), MOVEMENT_REPLICATES))
+    return movement.movement_test(movement.movement_distances(s.curated()))
 
 
 @on_study("movement_histogram")
 def _(s: Study) -> DataFrame:
-    return movement.movement_histogram(movement.movement_distances(s.curated(), MOVEMENT_REPLICATES))
+    return movement.movement_histogram(movement.movement_distances(s.curated()))
 
 
 # Capture-recapture
