@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import time
 
 import public_tokenizers
 import pytest
@@ -45,6 +46,16 @@ def test_forgetting_changes_nothing(both, monkeypatch):
     assert own.encode(text) == wanted.encode(text)
 
 
+def test_long_stretches_take_time_in_proportion(both):
+    own, wanted = both
+    rng = random.Random(8)
+    for text in ("ab" * 200_000, "".join(rng.choice("abcdefghij") for _ in range(400_000))):
+        start = time.perf_counter()
+        ids = own.encode(text)
+        assert time.perf_counter() - start < 15
+        assert ids == wanted.encode(text)
+
+
 def test_documents(docs, both):
     _, wanted = both
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -12,7 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-BATCH_BYTES = 1 << 20
+#: Text that numpy work takes at a time: its temporary arrays take tens of bytes a byte.
+BATCH_BYTES = 1 << 18
 BATCH_ROWS = 1000
 
 
@@ -74,6 +76,14 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(BATCH_ROWS))
 
 
+def give_back_memory() -> None:
+    """Return what a Python worker has freed to the machine: workers outlive their tasks and wait for the next stage."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def map_batches(
     df: DataFrame, schema: StructType | str, work: Callable[[pa.RecordBatch], pa.RecordBatch | Iterator[pa.RecordBatch]]
 ) -> DataFrame:
@@ -88,6 +98,7 @@ def map_batches(
                     yield out
                 else:
                     yield from out
+        give_back_memory()
 
     return df.mapInArrow(run, schema)
 

@@ -5,7 +5,7 @@ whose neighbours are all compatible: two pieces are compatible if merging their
 text again gives the same two pieces. The encoder takes the longest piece that starts at
 the position (found by an Aho-Corasick automaton over all pieces), falls back to shorter
 prefixes while the piece does not fit its predecessor, and steps back when none fits. A
-bit field marks positions from which no way on was found, so that none is tried twice.
+field of bits marks positions from which no way on was found, so that none is tried twice.
 """
 
 from __future__ import annotations
@@ -25,8 +25,9 @@ from tideline.llm.common import map_batches
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-#: Encoded stretches a Python worker remembers. Only speed depends on it.
-REMEMBERED = 1_000_000
+#: Encoded stretches of a generation, of which a Python worker remembers two (about 220 bytes a stretch), and the
+#: characters of the longest of them. Only speed depends on these.
+REMEMBERED, LONGEST = 150_000, 48
 NO_RANK = float("inf")
 
 
@@ -98,6 +99,8 @@ class PieceModel:
         self.fits: dict[int, bool] = {}
         self.known_chars = {p for p in self.id_of if len(p) == 1}
         self.remembered: dict[str, str] = {}
+        self.older: dict[str, str] = {}
+        self.reach = max(map(len, self.id_of), default=1)
         # No piece goes on after a letter with a space, and none holds a line break: texts fall apart there.
         apart = all(SPACE not in p.lstrip(SPACE) for p in self.id_of) and not any("\n" in p for p in self.id_of)
         self.stretches = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n" if apart else r"(?s).+").findall
@@ -130,16 +133,16 @@ class PieceModel:
     def _known_stretch(self, text: str) -> list[int]:
         """Ids of a text whose every character is a piece."""
         n = len(text)
-        fits, length, shorter, scan = self.fits.get, self.length, self.shorter, self.automaton.iter_long
+        fits, length, shorter, scan, reach = self.fits.get, self.length, self.shorter, self.automaton.iter_long, self.reach
         # A scan gives the longest matches one after the other; another one starts where the way leaves it.
         longest = {end - length[i] + 1: i for end, i in scan(text)}
-        open_at = (1 << (n + 1)) - 1
+        open_at = bytearray(b"\x01") * (n + 1)
         ids: list[int] = []
         at, piece, before = 0, longest[0], -1
         while at < n:
             while piece >= 0:
                 end = at + length[piece]
-                if open_at >> end & 1:
+                if open_at[end]:
                     good = fits(before << 32 | piece)
                     if good or good is None and self.compatible(before, piece):
                         break
@@ -148,14 +151,16 @@ class PieceModel:
                 ids.append(piece)
                 before, at = piece, end
                 if at not in longest and at < n:
-                    for stop, i in scan(text, at):
-                        start = stop - length[i] + 1
-                        if start in longest:
+                    # A window shows the longest matches that start well before its end.
+                    sure = n if at + 4 * reach >= n else at + 3 * reach
+                    for stop, i in scan(text[at : at + 4 * reach]):
+                        start = at + stop - length[i] + 1
+                        if start in longest or start > sure:
                             break
                         longest[start] = i
                 piece = longest[at] if at < n else -1
             else:
-                open_at &= ~(1 << at)
+                open_at[at] = 0
                 piece = ids.pop()
                 at -= length[piece]
                 before = ids[-1] if ids else -1
@@ -186,21 +191,19 @@ class PieceModel:
             return ""
         text = text.replace(" ", SPACE)
         parts = self.stretches(SPACE + text if self.dummy_prefix else text)
-        known = self.remembered
-        try:
-            return ",".join([known[p] for p in parts])
-        except KeyError:
-            if len(known) > REMEMBERED:
-                known.clear()
-            out = []
-            for part in parts:
-                ids = known.get(part)
-                if ids is None:
-                    ids = ",".join(map(str, self._stretch(part)))
-                    if len(part) <= 64:
+        known, older = self.remembered, self.older
+        out = list(map(known.get, parts))
+        if None in out:
+            for k, part in enumerate(parts):
+                if out[k] is None:
+                    ids = known.get(part) or older.get(part) or ",".join(map(str, self._stretch(part)))
+                    if len(part) <= LONGEST:
                         known[part] = ids
-                out.append(ids)
-            return ",".join(out)
+                    out[k] = ids
+            if len(known) > REMEMBERED:
+                # What is used again moves on from the older generation to the next one.
+                self.older, self.remembered = known, {}
+        return ",".join(out)
 
     def encode(self, text: str | None) -> list[int]:
         joined = self.encode_joined(text)
