@@ -181,8 +181,8 @@ def fit(
 ) -> Model:
     """A model of at most ``max_toxic`` and ``max_clean`` labelled documents outside the held-out fold.
 
-    They are those of the smallest hashes of their keys. A document with several labels is
-    toxic if one of them says so; labels without a document, null labels and null keys are left out.
+    They are those of the smallest hashes of their keys, each with one text: the smallest, where rows repeat a
+    key. A document with several labels is toxic if one of them says so; labels without a document, null labels and null keys are left out.
     """
     known = (
         labels.filter((fold(key, folds) != held_out) & F.col(toxic).isNotNull())
@@ -197,7 +197,7 @@ def fit(
     # At most max_toxic + max_clean keys.
     chosen = F.broadcast(picks[0].unionByName(picks[1]))
     found = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(chosen, "_key")
-    rows = found.orderBy("_key", "_text").limit(2 * (max_toxic + max_clean)).collect()
+    rows = found.groupBy("_key", "_mark").agg(F.min("_text").alias("_text")).orderBy("_key").collect()
     return train([r["_text"] for r in rows], [r["_mark"] for r in rows])
 
 
