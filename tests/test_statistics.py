@@ -213,3 +213,130 @@ def test_files_without_order_are_refused(spark, tmp_path):
     spark.range(4).selectExpr("id", "'x' as y").repartition(2).write.csv(str(tmp_path / "many"), header=True)
     with pytest.raises(ValueError, match="row_seq"):
         read_csv(spark, str(tmp_path / "many"))
+
+
+def _resampled(spark, seed=4, animals=400, occasions=7):
+    rng = np.random.default_rng(seed)
+    histories = []
+    for _ in range(animals):
+        enters, seen = int(rng.integers(0, 4)), []
+        for t in range(enters, occasions):
+            if t > enters and rng.random() > 0.85:
+                break
+            if rng.random() < 0.5:
+                seen.append(2000 + t)
+        if seen:
+            histories.append(seen)
+    return years_table(spark, histories)
+
+
+def test_variances_against_the_bootstrap(spark):
+    years = _resampled(spark)
+    exact = {r.year: r for r in recapture.jolly_seber(recapture.occasion_statistics(years)).collect()}
+    rows = recapture.abundance_bootstrap(years, 400).toPandas()
+    wide = rows.pivot(index="rep", columns="year", values="n_hat")
+    found = {(r.year_i, r.year_j): r for r in recapture.bootstrap_covariance(spark.createDataFrame(rows.dropna())).collect()}
+    for (i, j), r in found.items():
+        both = wide[[i, j]].dropna().to_numpy()
+        assert r.replicates == len(both) and r["cov"] == pytest.approx(np.cov(both.T)[0, 1] if i != j else np.var(both[:, 0], ddof=1))
+    inner = [y for y in exact if exact[y].n_se is not None and (y, y) in found]
+    assert len(inner) >= 4
+    for year in inner:
+        # Resampling adds the chance of the number of individuals itself, about the abundance.
+        drawn = found[year, year]["cov"]
+        assert 0.5 < drawn / (exact[year].n_se ** 2 + exact[year].n_hat) < 2
+    assert all(r.phi_se > 0 for r in exact.values() if r.phi_se is not None)
+
+
+def test_published_variances_by_hand(spark):
+    rows = [("a", 2000, 54, 0, 54, 24, 0), ("a", 2001, 146, 10, 143, 80, 14), ("a", 2002, 169, 37, 164, 70, 57), ("a", 2003, 209, 56, 202, 71, 71)]
+    stats = spark.createDataFrame(rows, "area string, year int, n bigint, m bigint, released bigint, r bigint, z bigint")
+    got = {r.year: r for r in recapture.jolly_seber(stats).collect()}
+    # The capsid data of Jolly (1965): marked 35.02 and 170.54, abundance 511.2 and 779.0, survival 0.649 and 1.015.
+    assert got[2001].marked == pytest.approx(35.02, abs=0.01) and got[2002].marked == pytest.approx(170.54, abs=0.01)
+    assert got[2001].n_hat == pytest.approx(511.2, abs=0.2) and got[2002].n_hat == pytest.approx(779.0, abs=0.2)
+    assert got[2000].phi == pytest.approx(0.649, abs=0.001) and got[2001].phi == pytest.approx(1.015, abs=0.001)
+    n, m, released, r, marked, n_hat = 146, 10, 143, 80, got[2001].marked, got[2001].n_hat
+    want = n_hat * (n_hat - n) * ((marked - m + released) / marked * (1 / r - 1 / released) + (1 - m / n) / m)
+    assert got[2001].n_se == pytest.approx(math.sqrt(want))
+    shares = [(marked - m) * (marked - m + released) / marked**2 * (1 / r - 1 / released), (1 - got[2000].phi) / marked]
+    assert got[2000].phi_se == pytest.approx(got[2000].phi * math.sqrt(sum(shares)))
+
+
+def test_factor_of_singular_and_indefinite_covariances(spark):
+    base = np.array([[2.0, 1.0], [1.0, 3.0], [3.0, 4.0]])
+    singular = base @ base.T
+    indefinite = np.array([[1.0, 0.9, -0.9], [0.9, 1.0, 0.9], [-0.9, 0.9, 1.0]])
+    years = (2000, 2001, 2003)
+    rows = [(s, years[i], years[j], float(m[i, j])) for s, m in (("s", singular), ("i", indefinite)) for i in range(3) for j in range(3)]
+    rows += [("n", 2000, 2000, 4.0), ("n", 2000, 2001, None), ("n", 2001, 2000, None), ("n", 2001, 2001, None)]
+    table = spark.createDataFrame(rows, "stock string, year_i int, year_j int, cov double")
+    factor = trend.covariance_factor(table).toPandas()
+    own = factor[factor.stock == "s"].pivot(index="year_i", columns="year_j", values="l").to_numpy()
+    assert own.shape == (3, 2)
+    np.testing.assert_allclose(own @ own.T, singular, atol=1e-9)
+    assert np.isfinite(factor.l).all() and set(factor[factor.stock == "n"].year_i) == {2000}
+    estimates = spark.createDataFrame(
+        [("s", y, 10.0 * k) for k, y in enumerate(years)] + [("s", 2004, 5.0), ("s", 2005, None)], "stock string, year int, n_hat double"
+    )
+    drawn = trend.abundance_draws(estimates, trend.covariance_factor(table), 6000).toPandas().pivot(index="rep", columns="year", values="n_hat")
+    assert list(drawn.columns) == [2000, 2001, 2003, 2004] and (drawn[2004] == 5.0).all()
+    np.testing.assert_allclose(drawn[list(years)].cov(), singular, rtol=0.08)
+
+
+def test_no_survival_leaves_nothing(spark):
+    rows = [("a", "S", 2000, 100.0, 0.5, 0.0), ("a", "S", 2001, 100.0, 0.3, 1.0), ("a", "S", 2004, 100.0, 0.2, 0.0)]
+    parameters = spark.createDataFrame(rows, "area string, subarea string, year int, n_super double, entry_share double, survival double")
+    got = [r.n_hat for r in recapture.derived_abundance(parameters).orderBy("year").collect()]
+    assert got == pytest.approx([50.0, 30.0, 50.0])
+
+
+def test_derived_abundance_gives_back_the_estimates(spark):
+    years = _resampled(spark)
+    estimates = {r.year: r.n_hat for r in recapture.jolly_seber(recapture.occasion_statistics(years)).collect()}
+    parameters = recapture.entry_parameters(years)
+    assert parameters.agg(F.sum("entry_share")).first()[0] == pytest.approx(1.0)
+    for row in recapture.derived_abundance(parameters).collect():
+        assert row.n_hat == pytest.approx(estimates[row.year] or 0.0) or estimates[row.year] is None
+
+
+def test_expected_years_by_drawing(spark):
+    from tideline.operators import sampling
+
+    params = spark.createDataFrame([("a", 6, 40), ("b", 1, 7), ("c", 3, None)], "area string, n_occasions bigint, n_original bigint")
+    got = {(r.area, r.value): r.n for r in sampling.expected_years(params, "area").collect()}
+    assert {k: n for k, n in got.items() if k[0] != "a"} == {("b", 1): 7.0}
+    assert sum(n for k, n in got.items() if k[0] == "a") == pytest.approx(200)
+    rng = np.random.default_rng(1)
+    counts = np.zeros(7)
+    for cohort in range(1, 6):
+        later = 6 - cohort
+        alive = np.cumprod(rng.random((80_000, later)) < 0.9, axis=1)
+        values = 1 + (alive * (rng.random((80_000, later)) < 0.4)).sum(1)
+        counts += np.bincount(values, minlength=7) / 2000
+    for value in range(1, 7):
+        assert got["a", value] == pytest.approx(counts[value], abs=0.6)
+
+
+def test_fractional_frequencies(spark):
+    """Weights of halves twice over are whole ones: quantiles, density and ranks agree with the sample written out."""
+    values, weights = [1.0, 2.0, 4.0, 7.0], [3.0, 5.0, 2.0, 1.0]
+    rows = [("s", "x", v, w / 2) for v, w in zip(values, weights, strict=True)] * 2
+    rows += [("s", "y", 2.0, 1.5), ("s", "y", 3.0, 2.5)]
+    table = spark.createDataFrame(rows, "s string, type string, value double, n double")
+    sample = np.repeat(values, np.array(weights, int))
+    spread = min(sample.std(ddof=1), (np.quantile(sample, 0.75) - np.quantile(sample, 0.25)) / 1.34)
+    width = 0.9 * spread * len(sample) ** -0.2
+    for r in ranktest.density(table, "s", points=20).filter("type = 'x'").collect():
+        want = np.exp(-(((r.x - sample) / width) ** 2) / 2).sum() / (len(sample) * width * math.sqrt(2 * math.pi))
+        assert r.density == pytest.approx(want)
+    row = ranktest.rank_sum(table, "s", "x", "y").first()
+    w = sum(a * b * ((v > u) + 0.5 * (v == u)) for v, a in zip(values, weights, strict=True) for u, b in ((2.0, 1.5), (3.0, 2.5)))
+    assert (row.n_x, row.n_y) == (11.0, 4.0) and row.w == pytest.approx(w)
+
+
+def test_every_bin_of_a_histogram(spark):
+    rows = [("a", 0.0), ("a", 0.05), ("a", 29.99), ("a", 31.0), ("b", 40.0)]
+    got = ranktest.histogram(spark.createDataFrame(rows, "g string, v double"), ["g"], "v").collect()
+    assert len(got) == 300 and sum(r.n for r in got if r.g == "a") == 3 and sum(r.n for r in got if r.g == "b") == 0
+    assert {r.bin for r in got} == set(range(150))

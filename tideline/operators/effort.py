@@ -137,14 +137,20 @@ def encounter_report(stratified: DataFrame) -> DataFrame:
         .withColumn("position", F.coalesce(_stock_order(), F.lit(len(fv.STOCKS))))
         .select("position", "stock", "subarea", "span_of_years", *counts)
     )
-    total = body.agg(*[F.sum(c).alias(c) for c in counts]).select(
-        F.lit(len(fv.STOCKS) + 1).alias("position"),
-        F.lit("Total").alias("stock"),
-        F.lit("").alias("subarea"),
-        F.lit("").alias("span_of_years"),
-        *counts,
-    )
-    return body.unionByName(total).orderBy("position", "stock", "subarea").drop("position")
+    # Grouping sets add the total from the same rows, so that they are made once.
+    labels = ["position", "stock", "subarea", "span_of_years"]
+    with_total = body.groupingSets([[F.col(c) for c in labels], []], *labels).agg(
+        F.grouping("stock").alias("is_total"), *[F.sum(c).alias(c) for c in counts]
+    )
+    is_total = F.col("is_total") == 1
+    return (
+        with_total.orderBy("is_total", "position", "stock", "subarea")
+        .select(
+            F.when(is_total, "Total").otherwise(F.col("stock")).alias("stock"),
+            *[F.when(is_total, "").otherwise(F.col(c)).alias(c) for c in ("subarea", "span_of_years")],
+            *counts,
+        )
+    )
 
 
 def encounters_by_year(stratified: DataFrame) -> DataFrame:
