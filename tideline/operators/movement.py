@@ -121,37 +121,60 @@ def individual_distance(points: DataFrame, groups: list[str], radius: float = fv
     )
 
 
-def _replicate_means(points: DataFrame) -> DataFrame:
-    groups = ["area", "rep", "type"]
-    return individual_distance(points, groups).groupBy(*groups).agg(F.avg("mean_km").alias("mean_km"))
+def _replicate_means(means: DataFrame, kind: str) -> DataFrame:
+    """Mean over individuals, per area and replicate."""
+    return means.groupBy("area", "rep").agg(F.avg("mean_km").alias("mean_km")).select(
+        "area", "rep", F.lit(kind).alias("type"), "mean_km"
+    )
 
 
 def observed_distances(
+    curated: DataFrame,
+    replicates: int = fv.MOVEMENT_REPLICATES,
+    seed: int = fv.SEED,
+    rows_per_slice: int = ROWS_PER_SLICE,
+) -> DataFrame:
+    """Mean distance between the yearly positions of individuals, per area and replicate.
+
+    The yearly arrays of an individual stand in one row, where a replicate draws its positions: nothing is exchanged
+    per replicate but sums. Individuals with a year cut into slices go by way of ``sample_one_per_year``.
+    """
+    rows = positions(curated)
+    who = ["area", "individual_id"]
+    groups = yearly_positions(rows, rows_per_slice)
+    large = F.broadcast(groups.filter(F.col("slice").isNotNull()).select(*who).distinct())
+    years = F.array_sort(F.collect_list(F.struct("year", "points")))
+    small = groups.join(large, who, "left_anti").groupBy(*who).agg(years.alias("years")).filter(F.size("years") > 1)
+
+    def drawn(y: Column) -> Column:
+        u = draws.uniform(seed, "pick", F.col("rep"), F.col("area"), F.col("individual_id"), y["year"])
+        point = F.get(y["points"], F.floor(u * F.size(y["points"])).cast("int"))
+        return F.transform(
+            F.array(point), lambda p: F.struct(F.radians(p["lat"]).alias("lat"), F.radians(p["lon"]).alias("lon"))
+        )
+
+    picked = repeat(small, "rep", 1, replicates, *who).withColumn("drawn", F.flatten(F.transform("years", drawn)))
+    means = picked.select("area", "rep", _mean_pairwise_km(F.col("drawn"), fv.EARTH_RADIUS_KM).alias("mean_km"))
+    sampled = sample_one_per_year(rows.join(large, who, "left_semi"), replicates, seed, 1, rows_per_slice)
+    means = means.unionByName(individual_distance(sampled, ["area", "rep"]).select("area", "rep", "mean_km"))
+    return _replicate_means(means, TRUTH)
+
+
+def permuted_distances(
     curated: DataFrame, replicates: int = fv.MOVEMENT_REPLICATES, seed: int = fv.SEED
 ) -> DataFrame:
-    """Mean distance between the yearly positions of individuals, per area and replicate."""
-    picks = sample_one_per_year(positions(curated), replicates, seed)
-    return _replicate_means(picks.withColumn("type", F.lit(TRUTH)))
+    """``observed_distances`` after permuting the individuals of each area and year."""
+    points = permute_within_year(positions(curated), replicates, seed).select(
+        "area", "rep", "year", "lat", "lon", F.col("drawn_id").alias("individual_id")
+    )
+    return _replicate_means(individual_distance(points, ["area", "rep"]), TEST)
 
 
 def movement_distances(
     curated: DataFrame, replicates: int = fv.MOVEMENT_REPLICATES, seed: int = fv.SEED
 ) -> DataFrame:
-    """``observed_distances``, and the same after permuting the individuals of each year.
-
-    Each position is counted for its own individual and for the drawn one, so the
-    sample is computed once.
-    """
-    owners = F.array(
-        F.struct(F.lit(TRUTH).alias("type"), F.col("individual_id").alias("owner")),
-        F.struct(F.lit(TEST).alias("type"), F.col("drawn_id").alias("owner")),
-    )
-    points = (
-        permute_within_year(positions(curated), replicates, seed)
-        .select("area", "rep", "year", "lat", "lon", F.inline(owners))
-        .withColumnRenamed("owner", "individual_id")
-    )
-    return _replicate_means(points)
+    """``observed_distances``, and the same after permuting the individuals of each year."""
+    return observed_distances(curated, replicates, seed).unionByName(permuted_distances(curated, replicates, seed))
 
 
 def movement_test(distances: DataFrame) -> DataFrame:
