@@ -109,17 +109,6 @@ def test_samples_of_large_groups_are_even(spark):
     assert got.filter("individual_id = 8").count() == 4000
 
 
-def test_distances_of_individuals_with_slices(spark, sf_dir):
-    """Individuals whose yearly rows are cut go another way, to distances of the same size."""
-    curated = study(spark, sf_dir).curated()
-    means = [
-        {r.area: r.km for r in movement.observed_distances(curated, 40, rows_per_slice=n).groupBy("area").agg(F.avg("mean_km").alias("km")).collect()}
-        for n in (20_000, 2)
-    ]
-    assert means[0].keys() == means[1].keys()
-    assert all(abs(means[0][a] - means[1][a]) < 0.1 * means[0][a] for a in means[0])
-
-
 def test_permutation_keeps_individuals_of_each_year(spark, sf_dir):
     rows = movement.positions(study(spark, sf_dir).curated())
     sliced = movement.permute_within_year(rows, 4, rows_per_slice=5).collect()
