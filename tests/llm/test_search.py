@@ -57,7 +57,7 @@ def test_empty_tables(vectors):
 
 
 def test_forest_on_odd_rows(vectors):
-    found = forest.search(vectors, F.col("id") % 100 == 0, 10).collect()
+    found = forest.search(vectors, F.col("id") % 100 == 0, 10, least=1000).collect()
     own = _usable(vectors, False)
     want = []
     for q in [i for i in own if i % 100 == 0]:
@@ -68,15 +68,76 @@ def test_forest_on_odd_rows(vectors):
     assert np.allclose([r["score"] for r in sorted(found)], [w[3] for w in sorted(want)])
 
 
-def test_forest_recall():
-    rng = np.random.default_rng(6)
-    rows = rng.normal(size=(4000, 64))
+def _recall(rows, enough):
+    """Share of the true ten nearest among the candidates, and the share of rows compared."""
+    index, hit, compared = forest.Forest(rows), 0, 0
+    asked = rows[:: len(rows) // 50]
+    for k, found in enumerate(index.candidates(asked, enough)):
+        far = ((rows - asked[k]) ** 2).sum(1)
+        hit += np.isin(np.argsort(far, kind="stable")[1:11], found).sum()
+        compared += len(found)
+    return hit / (10 * len(asked)), compared / (len(asked) * len(rows))
+
+
+def test_forest_recall_on_a_tenth_of_the_rows():
+    rows = np.random.default_rng(6).normal(size=(4000, 64))
     rows /= np.linalg.norm(rows, axis=1)[:, None]
-    index, hit = forest.Forest(rows), 0
-    asked = rows[::80]
-    for k, found in enumerate(index.candidates(asked, 2000)):
-        best = np.argsort(((rows - asked[k]) ** 2).sum(1))[1:11]
-        hit += np.isin(best, found).sum()
+    recall, compared = _recall(rows, 400)
+    assert recall >= 0.9
+    assert compared <= 0.15
+
+
+@pytest.mark.parametrize("scale", [1e-200, 1.0, 1e200])
+def test_forest_of_any_scale(scale):
+    recall, _ = _recall(np.random.default_rng(2).normal(size=(2000, 6)) + 40, 200)
+    assert recall >= 0.9
+    rows = np.random.default_rng(2).normal(size=(500, 6)) * scale
+    found = list(forest.Forest(rows, 32).candidates(rows[:5], 50))
+    assert all(len(f) >= 50 and i in f for i, f in enumerate(found))
+
+
+def test_candidates_share_a_prefix():
+    """Against a slow climb: prefixes compared symbol by symbol, one step after the other."""
+    rng = np.random.default_rng(8)
+    rows = np.concatenate([rng.normal(size=(200, 12)), np.ones((30, 12))])
+    index = forest.Forest(rows, 6)
+    near = index._nearness(rows)
+    way = np.argsort(-np.abs(near), axis=3, kind="stable")
+    signed = 2 * way + (np.take_along_axis(near, way, 3) > 0)
+    own = signed[..., 0]
+    for enough in (1, 10, 60, 229):
+        for q, found in zip((0, 7, 210), index.candidates(rows[[0, 7, 210]], enough), strict=True):
+            want = np.ones(len(rows), bool)
+            steps = [(n, p) for n in range(forest.SYMBOLS, 0, -1) for p in forest.PROBES[1:]]
+            for length, probes in steps:
+                same = (own[:, :, : length - 1] == own[q, :, : length - 1]).all(2)
+                last = (own[:, :, length - 1, None] == signed[q, :, length - 1, :probes]).any(2)
+                met = (same & last).any(1)
+                if met.sum() >= enough:
+                    want = met
+                    break
+            assert found.tolist() == np.flatnonzero(want).tolist()
+
+
+def test_registered_forest_recall(spark):
+    """Of the whole tables: each query's ten nearest found against all of its distances."""
+    import pyarrow.parquet as pq
+
+    folder = "/root/testdata/sf0.1"
+    table = pq.read_table(f"{folder}/embeddings.parquet")
+    ids, rows = table["vec_id"].to_numpy(), np.array(table["embedding"].to_pylist(), float)
+    hit, found = 0, {}
+    for r in queries.op9_forest(spark, folder).collect():
+        found.setdefault(r["query_id"], []).append(r)
+    asked = ids[ids % 100 == 0]
+    assert sorted(found) == sorted(asked.tolist())
+    for own in asked:
+        far = np.sqrt(((rows - rows[ids == own][0]) ** 2).sum(1))
+        best = [i for i in np.lexsort((ids, far)) if ids[i] != own][:10]
+        got = sorted(found[own], key=lambda r: r["rank"])
+        assert [r["rank"] for r in got] == list(range(1, 11))
+        assert np.allclose([r["score"] for r in got], [far[ids == r["vec_id"]][0] for r in got], rtol=0, atol=0)
+        hit += len({r["vec_id"] for r in got} & set(ids[best].tolist()))
     assert hit / (10 * len(asked)) >= 0.9
 
 

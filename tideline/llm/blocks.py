@@ -46,13 +46,15 @@ def against(
     counts: tuple[int, int],
     schema: str,
     work: Callable[[pa.Table, pa.Table], pa.Table],
+    queries_per_block: int | None = None,
 ) -> DataFrame:
     """Run ``work`` on every block of queries with every block of rows.
 
     ``counts`` are the numbers of both. Blocks are dealt by a hash of the id, so that they hold about
-    ``QUERIES_PER_BLOCK`` and ``ROWS_PER_BLOCK`` vectors at any size of the table.
+    ``QUERIES_PER_BLOCK`` (or as given) and ``ROWS_PER_BLOCK`` vectors at any size of the table.
     """
-    blocks = [max(1, -(-n // size)) for n, size in zip(counts, (QUERIES_PER_BLOCK, ROWS_PER_BLOCK), strict=True)]
+    sizes = (queries_per_block or QUERIES_PER_BLOCK, ROWS_PER_BLOCK)
+    blocks = [max(1, -(-n // size)) for n, size in zip(counts, sizes, strict=True)]
     own = [F.pmod(F.xxhash64("id"), F.lit(n)) for n in blocks]
     every = [F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))) for n in blocks]
     # New names for the columns of both sides, which may come from one table.

@@ -1,14 +1,18 @@
 """Nearest neighbours by a forest of hash prefixes.
 
-Every tree gives each vector a long string of bits, one per random direction: whether its
-projection lies above the median. A tree is the sorted array of its strings. A query goes
-down in all trees to its longest matching prefix and comes up again in all trees at once,
-bit by bit, until the vectors that share a prefix of that length in some tree are enough;
-these are compared exactly. Forests are built per block of rows, every row is in one.
+Every tree gives each vector a long string of symbols. A symbol is the direction, out of a few
+random ones and their opposites, that lies nearest to the vector; directions are taken from the
+centre of the block. A tree is the sorted array of its strings. A query goes down in all trees to
+the rows that share its whole string and comes up again in all trees at once: at every length the
+last symbol may also be the query's second nearest, then one of its nearest four and so on, until
+all symbols are allowed there and the prefix is a symbol shorter. It stops once the rows met in some
+tree are enough; these are compared exactly. Forests are built per block of rows, every row is in one.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -17,56 +21,103 @@ from pyspark.sql import functions as F
 from tideline.llm.blocks import against, matrices, usable
 from tideline.llm.common import kept
 
-TREES, BITS = 48, 32
+#: A string has ``SYMBOLS`` symbols, each one of ``WAYS`` directions or an opposite of theirs.
+TREES, SYMBOLS, WAYS = 512, 4, 16
+SYMBOL_BITS = (2 * WAYS - 1).bit_length()
+#: So many of the nearest symbols are allowed at the end of a prefix, one step after the other.
+PROBES = (0, 1, 2, 4, 8, 16)
 #: Candidates compared exactly: this share of a block, and at least so many.
-SHARE, ENOUGH = 0.5, 512
+SHARE, ENOUGH = 0.1, 256
+#: Queries that share the work of building a forest, and vectors that are hashed at a time.
+QUERIES_PER_FOREST, AT_A_TIME = 16384, 128
 SEED = 3
 
 
 class Forest:
-    """Sorted arrays of hash strings over the rows of one matrix."""
+    """Sorted arrays of hash strings over the rows of one matrix, which has a row at least."""
 
     def __init__(self, rows: np.ndarray, trees: int = TREES):
-        self.rows = rows
-        self.directions = np.random.default_rng(SEED).normal(size=(rows.shape[1], trees * BITS)).astype(np.float32)
-        projected = rows.astype(np.float32) @ self.directions
-        self.medians = np.median(projected, 0) if len(rows) else np.zeros(trees * BITS, np.float32)
-        strings = self._strings(projected)
-        self.order = np.argsort(strings, axis=0, kind="stable")
-        self.sorted = np.take_along_axis(strings, self.order, 0)
-
-    def _strings(self, projected: np.ndarray) -> np.ndarray:
-        bits = (projected > self.medians).reshape(len(projected), -1, BITS)
-        return (bits.astype(np.uint64) << np.arange(BITS)[::-1].astype(np.uint64)).sum(2, dtype=np.uint64)
-
-    def candidates(self, queries: np.ndarray, enough: int):
+        self.rows, self.trees = rows, trees
+        self.scale = float(np.abs(rows).max(initial=0)) or 1.0
+        scaled = rows / self.scale
+        self.centre = scaled.mean(0)
+        length = np.linalg.norm(scaled - self.centre, axis=1)
+        # Vectors of different lengths lie on one more axis, so that near ones have near directions.
+        self.lift = float(length.std())
+        rng, wide = np.random.default_rng(SEED), rows.shape[1] + 1
+        whole = trees * SYMBOLS * WAYS
+        turns = [np.linalg.qr(rng.normal(size=(wide, wide)))[0] for _ in range(-(-whole // wide))]
+        self.directions = np.concatenate(turns, 1)[:, :whole].astype(np.float32)
+        strings = np.zeros((trees, len(rows)), np.uint32)
+        for start in range(0, len(rows), AT_A_TIME):
+            near = self._nearness(rows[start : start + AT_A_TIME])
+            way = np.abs(near).argmax(3)
+            sign = np.take_along_axis(near, way[..., None], 3)[..., 0] > 0
+            strings[:, start : start + AT_A_TIME] = self._packed(2 * way + sign).T
+        self.order = np.argsort(strings, axis=1, kind="stable").astype(np.int32)
+        self.sorted = np.take_along_axis(strings, self.order, 1)
+
+    def _nearness(self, vectors: np.ndarray) -> np.ndarray:
+        """Projections by vector, tree, position in the string and direction."""
+        lifted = np.full((len(vectors), vectors.shape[1] + 1), self.lift, np.float32)
+        lifted[:, :-1] = vectors / self.scale - self.centre
+        return (lifted @ self.directions).reshape(len(vectors), self.trees, SYMBOLS, WAYS)
+
+    @staticmethod
+    def _packed(symbols: np.ndarray) -> np.ndarray:
+        shifts = SYMBOL_BITS * np.arange(SYMBOLS)[::-1]
+        return (symbols.astype(np.uint32) << shifts.astype(np.uint32)).sum(-1, dtype=np.uint32)
+
+    def candidates(self, queries: np.ndarray, enough: int) -> Iterator[np.ndarray]:
         """For each query the rows that share a prefix of some length with it in a tree, at least ``enough`` or all."""
-        strings = self._strings(queries.astype(np.float32) @ self.directions)
-        n, trees = len(self.rows), strings.shape[1]
-        ranges = []
-        for length in range(BITS, -1, -1):
-            low = strings >> np.uint64(BITS - length) << np.uint64(BITS - length)
-            high = low + (np.uint64(1) << np.uint64(BITS - length))
-            ends = [
-                np.stack([np.searchsorted(self.sorted[:, t], side[:, t]) for t in range(trees)], 1) for side in (low, high)
-            ]
-            ranges.append(ends)
-            # Going up, prefixes only get shorter: once all queries have hits enough for certain, stop.
-            if (np.max(ends[1] - ends[0], 1) >= enough).all():
-                break
-        hits = np.stack([(b - a).sum(1) for a, b in ranges])
-        for i in range(len(queries)):
-            level = int(np.argmax(hits[:, i] >= min(enough, n))) if (hits[:, i] >= min(enough, n)).any() else len(ranges) - 1
-            while True:
-                seen = np.zeros(n, bool)
-                a, b = ranges[level]
-                for t in range(trees):
-                    seen[self.order[a[i, t] : b[i, t], t]] = True
-                found = np.flatnonzero(seen)
-                if len(found) >= min(enough, n) or level + 1 == len(ranges):
+        for start in range(0, len(queries), AT_A_TIME):
+            yield from self._climb(queries[start : start + AT_A_TIME], min(enough, len(self.rows)))
+
+    def _climb(self, queries: np.ndarray, enough: int) -> list[np.ndarray]:
+        near = self._nearness(queries)
+        # Symbols from the nearest to the farthest: those of the opposites are the same ones backwards.
+        by_size = np.argsort(-np.abs(near), axis=3, kind="stable")
+        symbols = 2 * by_size + (np.take_along_axis(near, by_size, 3) > 0)
+        strings = self._packed(symbols[..., 0])
+        n, count = len(self.rows), len(queries)
+        seen, met = np.zeros((count, n), bool), np.zeros(count, np.int64)
+        waiting: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(count)]
+        active = np.arange(count) if enough else np.arange(0)
+        base = np.arange(self.trees, dtype=np.int64)[:, None] * n
+        flat = self.order.ravel()
+        for length in range(SYMBOLS, 0, -1):
+            shift = np.uint32(SYMBOL_BITS * (SYMBOLS - length))
+            above = strings >> shift >> np.uint32(SYMBOL_BITS) << np.uint32(SYMBOL_BITS)
+            for first, last in zip(PROBES, PROBES[1:], strict=False):
+                if not len(active):
                     break
-                level += 1
-            yield found
+                low = (above[active][..., None] | symbols[active, :, length - 1, first:last].astype(np.uint32)) << shift
+                high = low + (np.uint32(1) << shift)
+                low, high = (side.transpose(1, 0, 2).reshape(self.trees, -1) for side in (low, high))
+                ends = [
+                    (np.stack([np.searchsorted(self.sorted[t], side[t]) for t in range(self.trees)]) + base).reshape(
+                        self.trees, len(active), last - first
+                    )
+                    for side in (low, high)
+                ]
+                met[active] += (ends[1] - ends[0]).sum((0, 2))
+                for at, q in enumerate(active):
+                    waiting[q].append((ends[0][:, at].ravel(), ends[1][:, at].ravel()))
+                    if met[q] >= enough:
+                        starts, stops = (np.concatenate(side) for side in zip(*waiting[q], strict=True))
+                        seen[q, flat[_spans(starts, stops)]] = True
+                        waiting[q], met[q] = [], seen[q].sum()
+                active = active[met[active] < enough]
+        # Up at the root every row shares the empty prefix.
+        seen[active] = True
+        return [np.flatnonzero(row) for row in seen] if enough else [np.arange(0)] * count
+
+
+def _spans(starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """All numbers of the ranges from ``starts`` to ``stops``, one range after the other."""
+    sizes = stops - starts
+    before = np.cumsum(sizes) - sizes
+    return np.repeat(starts - before, sizes) + np.arange(sizes.sum())
 
 
 def _nearest(k: int, share: float, least: int):
@@ -113,12 +164,16 @@ def search(
     rows that fulfil ``is_query``, an expression on ``id``; a query's own row is no candidate, nor are vectors
     of another length. Null keys and vectors that are null, zero or hold null or non-finite components take no
     part; rows that repeat a key count once, with their smallest vector. An empty table gives an empty one.
+
+    Every block of rows compares at least ``share`` of itself, and ``least`` rows, exactly with a query: a block of
+    no more than ``least`` rows is searched whole. Rows of one hash string are met together, so that equal
+    vectors are all compared, however many there are.
     """
     rows = kept(usable(vectors, key, vector, zero=False))
     known = rows.agg(F.count("*").alias("n"), F.count_if(is_query).alias("q")).first()
     hits = against(
         rows.filter(is_query), rows, (known["q"], known["n"]),
-        "query_id bigint, vec_id bigint, score double", _nearest(k, share, least),
+        "query_id bigint, vec_id bigint, score double", _nearest(k, share, least), QUERIES_PER_FOREST,
     )
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return hits.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
