@@ -205,6 +205,40 @@ def test_first_rows_are_hashed(spark, sf_dir):
         assert "SortAggregate" not in plan, name
 
 
+def test_encounters_count_where_their_first_row_is(spark):
+    from tideline.operators import effort
+
+    rows = [
+        (3, "e1", "Oahu", "OA", 2001, "i1", "RWB"), (1, "e1", "Oahu", "OB", 2000, "i2", "PWF"), (2, "e1", "Oahu", "OA", 2001, "i1", None),
+        (4, "e2", "Oahu", "OA", 2001, "i1", "RWB"), (5, "e3", "Hawaii", "HA", 2002, "i3", None), (7, "e4", "Hawaii", None, 2002, "i4", "RWB"),
+        (6, "e5", "Elsewhere", "NA", 2003, "i5", "someone"), (8, None, "Hawaii", "HA", 2003, "i3", "RWB"),
+    ]
+    stratified = spark.createDataFrame(
+        rows, "row_seq bigint, encounter_id string, area string, subarea string, year int, individual_id string, source string"
+    )
+    report = [tuple(r) for r in effort.encounter_report(stratified).collect()]
+    assert report == [
+        ("Oahu", "OA", "2001-2001", 1, 1, 0, 0, 1),
+        ("Oahu", "OB", "2000-2000", 1, 0, 1, 0, 1),
+        ("Hawaii", "HA", "2002-2003", 1, 1, 0, 1, 2),
+        ("Elsewhere", "NA", "2003-2003", 1, 0, 0, 1, 1),
+        ("Total", "", "", 4, 2, 1, 2, 5),
+    ]
+    long = effort.encounters_by_year(stratified)
+    assert long.columns == ["stock", "subarea", "year", "num_individuals", "enc_type", "num_enc"]
+    counted = {tuple(r)[:3] + (r["enc_type"],): r["num_enc"] for r in long.collect() if r["num_enc"]}
+    assert counted == {
+        ("Oahu", "OA", 2001, "CRC encounters"): 1,
+        ("Oahu", "OB", 2000, "PWF encounters"): 1,
+        ("Hawaii", "HA", 2002, "Other encounters"): 1,
+        ("Hawaii", "HA", 2003, "CRC encounters"): 1,
+        ("Elsewhere", "NA", 2003, "Other encounters"): 1,
+    }
+    plan = effort.encounters_by_year(stratified)._jdf.queryExecution().executedPlan().toString()
+    assert "LeftSemi" not in plan
+    assert "SortAggregate" not in plan
+
+
 def test_files_without_order_are_refused(spark, tmp_path):
     import pytest
 

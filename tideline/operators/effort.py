@@ -94,21 +94,37 @@ def subarea_individuals(stratified: DataFrame) -> DataFrame:
     )
 
 
-def _first_row_of_encounters(stratified: DataFrame) -> DataFrame:
-    """Per encounter its first row in file order: the least row number, joined back."""
-    rows = stratified.filter(F.col("subarea").isNotNull())
-    firsts = rows.groupBy("encounter_id").agg(F.min("row_seq").alias("row_seq")).select("row_seq")
-    return rows.join(firsts, "row_seq", "left_semi").select(F.col("area").alias("stock"), "subarea", "year", "source")
+CRC, PWF, OTHER = 1, 2, 3
 
 
-def _source_counts() -> list:
+def _first_row_of_encounters(stratified: DataFrame) -> DataFrame:
+    """Per encounter the stratum, year and contributor of its first row in file order.
+
+    All three are numbers, so that they are carried along with the least row number in one hash aggregate:
+    no row meets its encounter again. ``stratum`` is a 64-bit hash of the labels, of which there are few;
+    ``_with_labels`` turns it back.
+    """
     crc, pwf = F.col("source") == fv.CRC_SOURCE, curate.from_pwf()
     other = ~expr.is_one_of(F.col("source"), [fv.CRC_SOURCE, *fv.PWF_SOURCES])
-    return [
-        expr.count_true(crc).alias("crc_encounters"),
-        expr.count_true(pwf).alias("pwf_encounters"),
-        expr.count_true(other).alias("other_encounters"),
-    ]
+    rows = stratified.filter(F.col("subarea").isNotNull() & F.col("row_seq").isNotNull()).select(
+        "encounter_id",
+        "row_seq",
+        F.xxhash64("area", "subarea").alias("stratum"),
+        "year",
+        F.when(crc, CRC).when(pwf, PWF).when(other, OTHER).alias("contributor"),
+    )
+    carried = [F.min_by(c, "row_seq").alias(c) for c in ("stratum", "year", "contributor")]
+    return rows.groupBy("encounter_id").agg(*carried).drop("encounter_id")
+
+
+def _source_counts() -> list:
+    names = {"crc_encounters": CRC, "pwf_encounters": PWF, "other_encounters": OTHER}
+    return [expr.count_true(F.col("contributor") == number).alias(name) for name, number in names.items()]
+
+
+def _with_labels(counts: DataFrame, individuals: DataFrame) -> DataFrame:
+    """Counts per ``stratum`` with its labels and its number of individuals."""
+    return counts.join(individuals.withColumn("stratum", F.xxhash64("stock", "subarea")), "stratum").drop("stratum")
 
 
 def _stock_order(stock: str = "stock"):
@@ -128,12 +144,12 @@ def encounter_report(stratified: DataFrame) -> DataFrame:
     years = F.concat_ws("-", F.min("year").cast("string"), F.max("year").cast("string"))
     encounters = (
         _first_row_of_encounters(stratified)
-        .groupBy("stock", "subarea")
+        .groupBy("stratum")
         .agg(years.alias("span_of_years"), *_source_counts())
         .withColumn("total_encounters", F.expr("crc_encounters + pwf_encounters + other_encounters"))
     )
     body = (
-        encounters.join(subarea_individuals(stratified), ["stock", "subarea"], "left")
+        _with_labels(encounters, subarea_individuals(stratified))
         .withColumn("position", F.coalesce(_stock_order(), F.lit(len(fv.STOCKS))))
         .select("position", "stock", "subarea", "span_of_years", *counts)
     )
@@ -155,11 +171,9 @@ def encounter_report(stratified: DataFrame) -> DataFrame:
 
 def encounters_by_year(stratified: DataFrame) -> DataFrame:
     """Encounters per stock, subarea, year and contributor in long form."""
+    counts = _first_row_of_encounters(stratified).groupBy("stratum", "year").agg(*_source_counts())
     wide = (
-        _first_row_of_encounters(stratified)
-        .groupBy("stock", "subarea", "year")
-        .agg(*_source_counts())
-        .join(subarea_individuals(stratified), ["stock", "subarea"], "left")
+        _with_labels(counts, subarea_individuals(stratified))
         .withColumnsRenamed(
             {
                 "crc_encounters": "CRC encounters",
