@@ -68,6 +68,20 @@ def test_language_odd_rows(odd_docs, no_docs):
     assert {r["lang_pred"] for r in langid.identified(odd_docs, langid.fit(no_docs)).collect()} == {langid.UNKNOWN}
 
 
+def test_language_of_a_repeated_key_is_learnt(spark):
+    """Many rows of one key are one document, which any sample of keys may miss: all languages are learnt."""
+    from zlib import crc32
+
+    keys = [k for k in range(9000) if crc32(str(k).encode()) % 5]
+    rows = [(k, f"alpha beta gamma number {k}", "aa") for k in keys[:3000]]
+    for n, name in enumerate(("bb", "cc", "dd")):
+        rows += [(keys[3000 + n], f"oui non peut etre {name} mot{n}", name)] * 1500
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    filters = langid.fit(docs)
+    assert list(filters.languages) == ["aa", "bb", "cc", "dd"]
+    assert langid.identified(docs, filters).filter("lang_pred is null").count() == 0
+
+
 def _rule(url):
     own, way, _ = urlfilter.parts(url or "")
     fits = [

@@ -158,25 +158,28 @@ def fit(
 ) -> Filters:
     """Filters from at most ``max_docs`` documents of each language outside the held-out fold.
 
-    They are those of the smallest hashes of their keys. Rows with a null key, text or language teach nothing.
+    They are those of the smallest hashes of their keys, each with one text: the smallest, where rows repeat a
+    key. Rows with a null key, text or language teach nothing.
     """
     spark = docs.sparkSession
     known = docs.select(
         F.col(key).alias("_key"), F.col(text).alias("_text"), F.col(lang).cast("string").alias("_lang")
     ).filter((fold(key, folds) != held_out) & F.col(lang).isNotNull() & F.col(text).isNotNull())
-    sizes = {r["_lang"]: r["count"] for r in known.groupBy("_lang").count().collect()}
+    # A key that many rows repeat is one draw, so keys are counted, not rows.
+    known = known.withColumn("_drawn", F.xxhash64(F.lit(SEED), "_key"))
+    sizes = {r["_lang"]: r["n"] for r in known.groupBy("_lang").agg(F.approx_count_distinct("_drawn").alias("n")).collect()}
     if not sizes:
         return Filters()
     # One row per language: the share that gives somewhat more than enough documents.
     shares = spark.createDataFrame(
         [(k, min(1.0, 1.5 * max_docs / n + 50 / n)) for k, n in sizes.items()], "_lang string, _share double"
     )
-    drawn = F.xxhash64(F.lit(SEED), "_key")
-    place = F.row_number().over(Window.partitionBy("_lang").orderBy("_drawn", "_key", "_text"))
+    place = F.row_number().over(Window.partitionBy("_lang").orderBy("_drawn", "_key"))
     rows = (
-        known.withColumn("_drawn", drawn)
-        .join(F.broadcast(shares), "_lang")
+        known.join(F.broadcast(shares), "_lang")
         .filter(F.pmod("_drawn", F.lit(1 << 30)) < F.col("_share") * (1 << 30))
+        .groupBy("_lang", "_drawn", "_key")
+        .agg(F.min("_text").alias("_text"))
         .withColumn("_place", place)
         .filter(F.col("_place") <= max_docs)
         .select("_text", "_lang")
