@@ -90,6 +90,25 @@ def test_near_odd_rows(odd_docs, no_docs):
     assert neardup.grouped(no_docs).count() == 0
 
 
+def test_one_row_of_each_repeated_key(spark):
+    words = "one two three four five six seven eight nine ten eleven twelve"
+    other = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
+    rows = [(1, words, 3, "c"), (1, words, 2, "b"), (1, words, 2, "a"), (2, words, 0, "d"), (2, words, 0, "d")]
+    # Key 4 has a text of its own and a copy; two rows without a key are different documents.
+    rows += [(4, other, 5, "e"), (4, words, 6, "f"), (None, other + " lambda mu", 1, "x"), (None, "short", 1, "y"), (5, None, 0, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, `class` int, source string")
+    for part in (docs, docs.repartition(7)):
+        left = neardup.one_of_each_group(part)
+        assert left.columns == docs.columns
+        found = left.collect()
+        assert [r["class"] for r in found if r["doc_id"] == 1] == [2]
+        assert [r["source"] for r in found if r["doc_id"] == 1] == ["a"]
+        assert [r for r in found if r["doc_id"] == 2] == []
+        assert [r["text"] for r in found if r["doc_id"] == 4] == [other]
+        assert sorted(r["source"] for r in found if r["doc_id"] is None) == ["x", "y"]
+        assert len([r for r in found if r["doc_id"] == 5]) == 1
+
+
 def test_components(spark):
     rng = random.Random(8)
     edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(300)] + [(k, k + 1) for k in range(500, 560)]

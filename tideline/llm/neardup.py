@@ -271,10 +271,24 @@ def grouped(docs: DataFrame, percent: int = 80, key: str = "doc_id", text: str =
 def one_of_each_group(docs: DataFrame, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows, all columns as they are, of one document per group: the one of the smallest key.
 
-    Texts without words all stay. Of rows that repeat a kept key one stays.
+    Texts without words all stay. A key goes where none of its rows is kept; of rows that repeat a key that
+    stays one is left, the smallest by text and then by the other columns, which have to be comparable then.
+    Rows without a key all stay. An empty table gives an empty one.
     """
     found = kept(grouped(docs, percent, key, text))
-    gone = found.filter(~F.col("kept") & F.col(key).isNotNull()).select(key).distinct()
-    left = docs.join(gone, key, "left_anti")
-    again = found.filter("kept").groupBy(key).count().filter("count > 1")
-    return left if again.isEmpty() else left.dropDuplicates([key])
+    keys = kept(
+        found.filter(F.col(key).isNotNull())
+        .groupBy(key)
+        .agg(F.max("kept").alias("stays"), F.count("*").alias("rows"))
+        .filter(~F.col("stays") | (F.col("rows") > 1))
+        .withColumn(key, F.col(key).cast(docs.schema[key].dataType))
+    )
+    again = keys.filter("stays").select(key)
+    left = docs.join(keys.select(key), key, "left_anti").select(docs.columns)
+    if again.isEmpty():
+        return left
+    # The least row, as an aggregate that is combined before the shuffle: a key may be that of many rows.
+    ordered = [text, *(c for c in docs.columns if c != text)]
+    repeated = docs.join(again, key, "left_semi").groupBy(F.col(key).alias("_key"))
+    least = repeated.agg(F.min(F.struct(*ordered)).alias("_row")).select("_row.*")
+    return left.unionByName(least.select(docs.columns))
