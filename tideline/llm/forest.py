@@ -47,21 +47,38 @@ class Forest:
         rng, wide = np.random.default_rng(SEED), rows.shape[1] + 1
         whole = trees * SYMBOLS * WAYS
         turns = [np.linalg.qr(rng.normal(size=(wide, wide)))[0] for _ in range(-(-whole // wide))]
-        self.directions = np.concatenate(turns, 1)[:, :whole].astype(np.float32)
+        columns = np.concatenate(turns, 1)[:, :whole].astype(np.float32).reshape(wide, -1, WAYS)
+        # One matrix per way, so that the largest projection is a running one over whole matrices.
+        self.directions = np.ascontiguousarray(columns.transpose(2, 0, 1))
         strings = np.zeros((trees, len(rows)), np.uint32)
         for start in range(0, len(rows), AT_A_TIME):
-            near = self._nearness(rows[start : start + AT_A_TIME])
-            way = np.abs(near).argmax(3)
-            sign = np.take_along_axis(near, way[..., None], 3)[..., 0] > 0
-            strings[:, start : start + AT_A_TIME] = self._packed(2 * way + sign).T
+            strings[:, start : start + AT_A_TIME] = self._strings(rows[start : start + AT_A_TIME]).T
         self.order = np.argsort(strings, axis=1, kind="stable").astype(np.int32)
         self.sorted = np.take_along_axis(strings, self.order, 1)
 
-    def _nearness(self, vectors: np.ndarray) -> np.ndarray:
-        """Projections by vector, tree, position in the string and direction."""
+    def _lifted(self, vectors: np.ndarray) -> np.ndarray:
         lifted = np.full((len(vectors), vectors.shape[1] + 1), self.lift, np.float32)
         lifted[:, :-1] = vectors / self.scale - self.centre
-        return (lifted @ self.directions).reshape(len(vectors), self.trees, SYMBOLS, WAYS)
+        return lifted
+
+    def _strings(self, vectors: np.ndarray) -> np.ndarray:
+        """The string of every vector in every tree."""
+        lifted = self._lifted(vectors)
+        largest = np.full((len(vectors), self.trees * SYMBOLS), -1, np.float32)
+        symbols = np.zeros(largest.shape, np.uint8)
+        for way, direction in enumerate(self.directions):
+            projected = lifted @ direction
+            symbol = (projected > 0).view(np.uint8) + np.uint8(2 * way)
+            size = np.abs(projected, out=projected)
+            np.copyto(symbols, symbol, where=size > largest)
+            np.maximum(largest, size, out=largest)
+        return self._packed(symbols.reshape(len(vectors), self.trees, SYMBOLS))
+
+    def _nearness(self, vectors: np.ndarray) -> np.ndarray:
+        """Projections by vector, tree, position in the string and direction."""
+        lifted = self._lifted(vectors)
+        near = np.stack([lifted @ direction for direction in self.directions], -1)
+        return near.reshape(len(vectors), self.trees, SYMBOLS, WAYS)
 
     @staticmethod
     def _packed(symbols: np.ndarray) -> np.ndarray:
