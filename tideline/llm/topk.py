@@ -1,10 +1,10 @@
 """Exact top-k search by selection on histograms of scores.
 
-All rows are scored against all queries, block by block. Each pass counts, by query, how many
-scores fall into the bins of the range that must hold the k-th one, and goes on with the one
-bin where it lies, until a bin is a single score. Then the scores above it are read off, and
-among those equal to it the smallest ids. A block reports only the bins that can matter, at
-most k per query, so that passes shuffle little however many rows there are.
+All rows are scored against all queries once, block by block. A block keeps its own k best of a
+query, ties to the smaller id, as no other row of it can be among the query's k best. Each pass over
+what was kept counts, by query, how many scores fall into the bins of the range that must hold the
+k-th one, and goes on with the one bin where it lies, until a bin is a single score. Then the scores
+above it are read off, and among those equal to it the smallest ids.
 """
 
 from __future__ import annotations
@@ -47,50 +47,31 @@ def _scaled(work, scale: int):
     return run
 
 
-def _scored(left: pa.Table, right: pa.Table):
-    """By length of vectors: rows of the query table, query ids, row ids, scores, and whether a pair counts."""
-    there = {v.shape[1]: (ids, v) for _, ids, v in matrices(right)} if right.num_rows else {}
-    for at, own, queries in matrices(left) if left.num_rows else ():
-        if queries.shape[1] in there:
-            ids, rows = there[queries.shape[1]]
-            yield at, own, ids, scores(queries, rows), own[:, None] != ids[None, :]
-
+def _best(k: int):
+    """Of a block of rows the ``k`` best of each query in a block, equal scores by ascending id."""
 
-def _histogram(bins: int):
     def work(left: pa.Table, right: pa.Table) -> pa.Table:
         out: list[list] = [[], [], []]
-        for at, own, _, score, counts in _scored(left, right):
-            low, high, need = (left.column(c).to_numpy()[at] for c in ("low", "high", "need"))
-            for i in range(len(own)):
-                inside = score[i][counts[i] & (score[i] >= low[i]) & (score[i] <= high[i])]
-                if not len(inside):
-                    continue
-                if len(inside) > need[i]:
-                    inside = np.partition(inside, len(inside) - need[i])[len(inside) - need[i] :]
-                width = (int(high[i]) - int(low[i])) // bins + 1
-                bin_, n = np.unique((inside - low[i]).view(np.uint64) // np.uint64(width), return_counts=True)
-                out[0] += [own[i]] * len(n)
-                out[1] += bin_.tolist()
-                out[2] += n.tolist()
-        return pa.table({k: pa.array(v, pa.int64()) for k, v in zip(("id", "bin", "n"), out, strict=True)})
+        there = {v.shape[1]: (ids, v) for _, ids, v in matrices(right)} if right.num_rows else {}
+        for _, own, queries in matrices(left) if left.num_rows else ():
+            if queries.shape[1] not in there:
+                continue
+            ids, rows = there[queries.shape[1]]
+            for query, score in zip(own, scores(queries, rows), strict=True):
+                others = np.flatnonzero(ids != query)
+                found = score[others]
+                if len(found) > k:
+                    least = np.partition(found, len(found) - k)[len(found) - k]
+                    above, equal = np.flatnonzero(found > least), np.flatnonzero(found == least)
+                    others = others[np.concatenate([above, equal[: k - len(above)]])]  # ids are in order
+                out[0] += [query] * len(others)
+                out[1] += ids[others].tolist()
+                out[2] += score[others].tolist()
+        return pa.table({c: pa.array(v, pa.int64()) for c, v in zip(("id", "vec_id", "score"), out, strict=True)})
 
     return work
 
 
-def _selected(left: pa.Table, right: pa.Table) -> pa.Table:
-    out: list[list] = [[], [], []]
-    for at, own, ids, score, counts in _scored(left, right):
-        low, need = (left.column(c).to_numpy()[at] for c in ("low", "need"))
-        for i in range(len(own)):
-            above = np.flatnonzero(counts[i] & (score[i] > low[i]))
-            equal = np.flatnonzero(counts[i] & (score[i] == low[i]))[: need[i]]  # ids are in order
-            picked = np.concatenate([above, equal])
-            out[0] += [own[i]] * len(picked)
-            out[1] += ids[picked].tolist()
-            out[2] += score[i][picked].tolist()
-    return pa.table({k: pa.array(v, pa.int64()) for k, v in zip(("query_id", "vec_id", "score"), out, strict=True)})
-
-
 def search(
     vectors: DataFrame, is_query: Column, k: int, key: str = "vec_id", vector: str = "embedding", scale: int = 256
 ) -> DataFrame:
@@ -107,21 +88,23 @@ def search(
     counts = (known["q"], known["n"])
     bound = min(int(min(known["bound"] or 0.0, 2.0**63)) + 1, MOST)
     asked = rows.filter(is_query)
+    hits = kept(against(asked, rows, counts, "id bigint, vec_id bigint, score bigint", _scaled(_best(k), scale)))
     state = kept(
         asked.select("id", F.lit(-bound).alias("low"), F.lit(bound).alias("high"), F.lit(k).cast("bigint").alias("need"))
     )
     spread = 2 * bound + 1
+    width = f"(cast((cast(high as decimal(20)) - low) div {BINS} as bigint) + 1)"
     while spread > 1:
-        bins = against(asked.join(state, "id"), rows, counts, "id bigint, bin bigint, n bigint", _scaled(_histogram(BINS), scale))
+        inside = hits.join(state, "id").filter("score between low and high")
+        bins = inside.select("id", F.expr(f"(cast(score as decimal(20)) - low) div {width}").alias("bin"))
         own = Window.partitionBy("id").orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, 0)
         place = (
             bins.groupBy("id", "bin")
-            .agg(F.sum("n").alias("n"))
+            .agg(F.count("*").alias("n"))
             .withColumn("upto", F.sum("n").over(own))
             .join(state, "id")
             .filter((F.col("upto") >= F.col("need")) & (F.col("upto") - F.col("n") < F.col("need")))
         )
-        width = f"(cast((cast(high as decimal(20)) - low) div {BINS} as bigint) + 1)"
         found = place.select(
             "id",
             F.expr(f"cast(cast(low as decimal(38)) + cast(bin as decimal(20)) * {width} as bigint)").alias("low_"),
@@ -138,8 +121,6 @@ def search(
             )
         )
         spread = (spread - 1) // BINS + 1 if spread > BINS else 1
-    hits = against(
-        asked.join(state, "id"), rows, counts, "query_id bigint, vec_id bigint, score bigint", _scaled(_selected, scale)
-    )
+    hits = hits.join(state, "id").filter("score >= low").withColumnRenamed("id", "query_id")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return hits.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
