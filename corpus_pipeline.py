@@ -16,28 +16,45 @@ NEAR = 80
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are not predicted to be toxic, by a model of the labelled ones. Without labels all stay."""
+    """Documents that are not predicted to be toxic, by a model of the labelled ones. Without labels all stay.
+
+    Null and empty texts stay, repeated rows are judged alike, an empty table stays empty.
+    """
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.without_toxic(docs, model)
 
 
 def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the corpus names. Texts without a letter go."""
+    """Documents in a language that the corpus names. Null texts and texts without a letter go.
+
+    Repeated rows are judged alike; an empty table stays empty, and where no row names a language all rows go.
+    """
     return langid.in_known_language(docs, langid.fit(docs))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one of the smallest id."""
+    """One document of each group of near duplicates: the one of the smallest id.
+
+    Texts without words and rows without an id are linked with nothing and stay; of rows that repeat an id the
+    least one stays. An empty table stays empty.
+    """
     return neardup.one_of_each_group(docs, NEAR)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix by source weights takes them: none, once, twice or three times."""
+    """Documents as often as the mix by source weights takes them: none, once, twice or three times.
+
+    A null source is a source of its own, the last one; null and empty texts add no words. Rows of one id and
+    size are taken alike. An empty table stays empty.
+    """
     return mixing.repeated(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``doc_id``, ``n_tokens`` and ``ids`` of every row that is left."""
+    """``doc_id``, ``n_tokens`` and ``ids`` of every row that is left; a null text is an empty one, with no ids.
+
+    Rows that repeat give rows that repeat; an empty table gives an empty one.
+    """
     return sentencepiece.encoded(docs, piece_model()).select(
         "doc_id", F.size("ids").cast("bigint").alias("n_tokens"), "ids"
     )
