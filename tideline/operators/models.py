@@ -57,10 +57,12 @@ def model_average(models: DataFrame, **skew) -> DataFrame:
     """Weighted estimate per stock and parameter, with a standard error that includes model spread.
 
     ``models`` has one row per stock, model and parameter; each model's weight goes to all its parameters.
+    Weights are as many as models, whatever size the files suggest, so they meet their parameters in a
+    shuffle and are never broadcast.
     """
     weights = model_weights(models, **skew).select("stock", "model_id", "weight")
     parameters = models.select("stock", "model_id", "parameter", "estimate", "se")
-    keyed = parameters.join(weights, ["stock", "model_id"]).withColumn("what", F.struct("stock", "parameter"))
+    keyed = parameters.join(weights.hint("merge"), ["stock", "model_id"]).withColumn("what", F.struct("stock", "parameter"))
     averages = keyed.groupBy("what").agg(
         F.sum(F.col("weight") * F.col("estimate")).alias("average"), F.count("*").alias("rows")
     )
