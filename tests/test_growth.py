@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from tideline.operators import models
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from tideline.functions import bulk_draws, draws
+from tideline.operators import models, movement, recapture
 from tideline.plans import reports
 
 
@@ -16,3 +21,60 @@ def test_weights_are_not_broadcast(spark):
         plan = table._jdf.queryExecution().executedPlan().toString().splitlines()
         by_model = [line for line in plan if "Join" in line and "model_id" in line]
         assert by_model and all("SortMergeJoin" in line for line in by_model)
+
+
+def test_bulk_draws_are_the_keyed_draws(spark):
+    """Missing, short and overlong keys, replicates of one to four digits."""
+    areas = ["Oahu", None, "Kauai/Niihau", "x" * 60]
+    keys = [(areas[i % 4], None if i % 7 == 0 else i**5) for i in range(60)]
+    rows = spark.createDataFrame(keys, "area string, id bigint").coalesce(1)
+    columns = [pa.array([k[0] for k in keys]), pa.array([k[1] for k in keys], pa.int64())]
+    many = bulk_draws.Draws(5, "check", *columns)
+    for reps in bulk_draws.together(8, 11, 10**6), bulk_draws.together(95, 104, 3), [[0, 1]], [[1000]]:
+        for some in reps:
+            u, order = many.uniform(some), many.order_key(some)
+            for i, rep in enumerate(some):
+                by = (F.lit(rep), F.col("area"), F.col("id"))
+                want = rows.select(draws.uniform(5, "check", *by).alias("u"), draws.order_key(5, "check", *by).alias("k")).collect()
+                assert [r.u for r in want] == u[i].tolist() and [r.k for r in want] == order[i].tolist()
+
+
+def sightings(spark):
+    """Two areas, individuals of none to six positions a year, one without a number; each row twice."""
+    rows = spark.range(900).selectExpr(
+        "IF(id % 3 = 0, 'Oahu', 'Hawaii') AS area", "IF(id % 41 = 0, NULL, id * id % 37) AS individual_id",
+        "CAST(1996 + id * 7 % 11 % 5 AS INT) AS year", "id div 2 AS row_seq", "19.0D + id % 13 / 10 AS lat",
+        "-156.0D - id % 17 / 10 AS lon",
+    )
+    return rows.unionByName(rows)
+
+
+@pytest.mark.parametrize("build", [movement.observed_distances, movement.movement_distances])
+def test_replicates_in_tasks_equal_replicates_of_rows(spark, build):
+    """The same means whether a task runs through the replicates or rows are repeated for them."""
+    rows = sightings(spark)
+
+    def means(**limits):
+        return {(r.area, r.rep, r.type): r.mean_km for r in build(rows, 12, **limits).collect()}
+
+    in_tasks, as_rows = means(), means(rows_per_task=0)
+    assert in_tasks.keys() == as_rows.keys() and {k[1] for k in in_tasks} == set(range(1, 13))
+    assert in_tasks == pytest.approx(as_rows, rel=1e-9)
+    assert means(rows_per_task=650) == pytest.approx(as_rows, rel=1e-9)
+
+
+def test_replicates_of_movement_are_made_in_tasks(spark):
+    plan = movement.movement_distances(sightings(spark), 1000)._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapGroupsInArrow" in plan
+
+
+def test_resamples_in_tasks_are_those_of_rows(spark):
+    years = recapture.individual_years(sightings(spark).withColumn("subarea", F.lit("A")))
+    reps = years.crossJoin(spark.range(1, 31).select(F.col("id").cast("int").alias("rep")))
+    u = draws.uniform(7, "bootstrap", F.col("rep"), F.col("area"), F.col("individual_id"))
+    statistics = recapture.occasion_statistics(reps.withColumn("times", draws.poisson_one(u)), ("area", "rep"), F.col("times"))
+    want = recapture.jolly_seber(statistics, ("area", "rep")).select("area", "rep", "year", "n", "n_hat")
+    got = recapture.abundance_bootstrap(years, 30, seed=7)
+    assert [c[:2] for c in got.dtypes] == [c[:2] for c in want.dtypes]
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert "MapInArrow" in got._jdf.queryExecution().optimizedPlan().toString()

@@ -2,19 +2,30 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tideline import fixed_values as fv
 from tideline.functions import draws, expr
+from tideline.functions.bulk_draws import Draws, together
 from tideline.operators import curate, ranktest
-from tideline.operators.spread import number_at_random, repeat
+from tideline.operators.spread import _tasks, number_at_random, repeat
 
 TRUTH, TEST = "truth", "test"
 WHO = ["area", "individual_id", "year"]
 #: Rows of a group that one array or one window holds; larger groups are cut into slices.
 ROWS_PER_SLICE = 20_000
+#: Rows of an individual or, to permute, of an area that one task holds as arrays, about 150 bytes each.
+ROWS_PER_TASK = 8_000_000
+#: Replicates of an area that one task permutes.
+REPLICATES_PER_TASK = 40
+#: Distances computed at a time.
+PAIRS_AT_ONCE = 16_384
 
 
 def positions(curated: DataFrame, stocks: list[str] = fv.STOCKS) -> DataFrame:
@@ -121,37 +132,156 @@ def individual_distance(points: DataFrame, groups: list[str], radius: float = fv
     )
 
 
-def _replicate_means(points: DataFrame) -> DataFrame:
+class _Positions:
+    """The positions of some individuals of an area, in arrays; an entry is an individual's year."""
+
+    def __init__(self, table: pa.Table, seed: int, radius: float):
+        individual = table["individual_id"].combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
+        year, row, lat, lon = (table[c].to_numpy() for c in ("year", "row_seq", "lat", "lon"))
+        order = np.lexsort((lon, lat, row, year, individual))
+        individual, year = individual[order], year[order]
+        new = np.append(True, (individual[1:] != individual[:-1]) | (year[1:] != year[:-1]))
+        self.seed, self.radius = seed, radius
+        self.lat, self.lon = np.radians(lat[order]), np.radians(lon[order])
+        self.start = np.flatnonzero(new)
+        self.size = np.diff(np.append(self.start, len(order)))
+        self.year = year[self.start]
+        self.keys = table.select(["area", "individual_id", "year"]).take(order[self.start])
+        # The place of an only position is known without a draw.
+        self.several = np.flatnonzero(self.size > 1)
+        self.picks = Draws(seed, "pick", *self.keys.take(self.several).columns)
+        who = individual[self.start]
+        years = np.diff(np.append(np.flatnonzero(np.append(True, who[1:] != who[:-1])), len(who)))
+        self.individuals = int((years > 1).sum())
+        self.weight = np.repeat(2.0 / (years * np.maximum(years - 1, 1)), years)
+        self.pairs = []
+        for lag in range(1, int(years.max())):
+            found = np.flatnonzero(who[lag:] == who[:-lag])
+            self.pairs += [(found[i : i + PAIRS_AT_ONCE], lag) for i in range(0, len(found), PAIRS_AT_ONCE)]
+
+    def drawn(self, reps: list[int]) -> np.ndarray:
+        """The place of the position that each entry gives, a row per replicate."""
+        places = np.repeat(self.start[None], len(reps), axis=0)
+        if len(self.several):
+            places[:, self.several] += np.floor(self.picks.uniform(reps) * self.size[self.several]).astype(places.dtype)
+        return places
+
+    def total_km(self, places: np.ndarray) -> np.ndarray:
+        """Per replicate the sum over individuals of the mean distance between their yearly positions."""
+        lat, lon = self.lat[places], self.lon[places]
+        cos, total = np.cos(lat), np.zeros(len(places))
+        for a, lag in self.pairs:
+            b = a + lag
+            h = np.sin((lat[:, b] - lat[:, a]) / 2) ** 2
+            h += cos[:, a] * cos[:, b] * np.sin((lon[:, b] - lon[:, a]) / 2) ** 2
+            total += 2 * self.radius * (np.arcsin(np.fmin(1.0, np.sqrt(h))) @ self.weight[a])
+        return total
+
+    def orders(self) -> Callable[[list[int]], np.ndarray]:
+        """A function of replicates: the entries year by year, those of a year in their random order."""
+        by_year = np.argsort(self.year, kind="stable")
+        ends = np.flatnonzero(np.append(np.diff(self.year[by_year]) != 0, True)) + 1
+        area, individual, year = self.keys.take(by_year).columns
+        places = Draws(self.seed, "place", area, year, individual)
+
+        def order(reps: list[int]) -> np.ndarray:
+            keys = places.order_key(reps)
+            return np.hstack([by_year[i:j][np.argsort(keys[:, i:j])] for i, j in zip([0, *ends], ends)])  # noqa: B905
+
+        return order
+
+
+def _sums_in_tasks(
+    rows: DataFrame, groups: list[str], tasks: int, replicates: int, at_once: int, types: list[str], seed: int, radius: float
+) -> DataFrame:
+    """Per group and replicate the sum of its individuals' mean distances, and their number.
+
+    A task has all positions of the individuals of a group and runs through ``at_once`` replicates, from the
+    column ``first`` on. For permuted ones the group has all individuals of its area.
+    """
+
+    def sums(table: pa.Table) -> pa.Table:
+        area, first = table["area"][0].as_py(), table["first"][0].as_py()
+        some, found = _Positions(table, seed, radius), []
+        order = some.orders() if TEST in types else None
+        owners = order([0])[0] if TEST in types else None
+        last = min(first + at_once - 1, replicates) if some.individuals else 0
+        for reps in together(first, last, len(some.start)):
+            places = some.drawn(reps)
+            for kind in types:
+                held = places
+                if kind == TEST:
+                    held = np.empty_like(places)
+                    held[:, owners] = np.take_along_axis(places, order(reps), axis=1)
+                found += [(area, r, kind, km, some.individuals) for r, km in zip(reps, some.total_km(held), strict=True)]
+        columns = zip(*found, strict=True) if found else [()] * len(schema)
+        return pa.table([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema)
+
+    schema = pa.schema({"area": pa.string(), "rep": pa.int32(), "type": pa.string(), "km": pa.float64(), "n": pa.int64()})
+    return (
+        rows.repartition(tasks, *groups)
+        .groupBy(*groups)
+        .applyInArrow(sums, "area string, rep int, type string, km double, n long")
+    )
+
+
+def _split(rows: DataFrame, groups: list[str], rows_per_task: int) -> tuple[DataFrame, DataFrame]:
+    """The rows of groups that fit a task, and the others; large groups are at most (rows / ``rows_per_task``)."""
+    large = rows.groupBy(*groups).agg(F.count("*").alias("n")).filter(F.col("n") > rows_per_task).select(*groups)
+    return rows.join(F.broadcast(large), groups, "left_anti"), rows.join(F.broadcast(large), groups, "left_semi")
+
+
+def _replicate_means(in_tasks: DataFrame, points: DataFrame, radius: float) -> DataFrame:
+    """Mean over individuals per area, replicate and type: those summed in tasks and those that come as rows."""
     groups = ["area", "rep", "type"]
-    return individual_distance(points, groups).groupBy(*groups).agg(F.avg("mean_km").alias("mean_km"))
+    from_rows = individual_distance(points, groups, radius).groupBy(*groups)
+    return (
+        in_tasks.unionByName(from_rows.agg(F.sum("mean_km").alias("km"), F.count("*").alias("n")))
+        .groupBy(*groups)
+        .agg((F.sum("km") / F.sum("n")).alias("mean_km"))
+    )
 
 
 def observed_distances(
-    curated: DataFrame, replicates: int = fv.MOVEMENT_REPLICATES, seed: int = fv.SEED
-) -> DataFrame:
-    """Mean distance between the yearly positions of individuals, per area and replicate."""
-    picks = sample_one_per_year(positions(curated), replicates, seed)
-    return _replicate_means(picks.withColumn("type", F.lit(TRUTH)))
+    curated: DataFrame, replicates: int = fv.MOVEMENT_REPLICATES, seed: int = fv.SEED,
+    radius: float = fv.EARTH_RADIUS_KM, rows_per_task: int = ROWS_PER_TASK,
+) -> DataFrame:
+    """Mean distance between the yearly positions of individuals, per area and replicate.
+
+    Individuals are dealt over tasks, each of which runs through the replicates and gives its sums: replicates
+    of rows are neither made nor shuffled. Those of individuals above ``rows_per_task`` rows are, from slices.
+    """
+    whole, large = _split(positions(curated), ["area", "individual_id"], rows_per_task)
+    parts = _tasks(curated)
+    dealt = whole.withColumn("part", F.pmod(F.xxhash64("individual_id"), F.lit(parts))).withColumn("first", F.lit(1))
+    in_tasks = _sums_in_tasks(dealt, ["area", "part"], parts, replicates, replicates, [TRUTH], seed, radius)
+    return _replicate_means(in_tasks, sample_one_per_year(large, replicates, seed).withColumn("type", F.lit(TRUTH)), radius)
 
 
 def movement_distances(
-    curated: DataFrame, replicates: int = fv.MOVEMENT_REPLICATES, seed: int = fv.SEED
-) -> DataFrame:
+    curated: DataFrame, replicates: int = fv.MOVEMENT_REPLICATES, seed: int = fv.SEED,
+    radius: float = fv.EARTH_RADIUS_KM, rows_per_task: int = ROWS_PER_TASK, types: tuple[str, ...] = (TRUTH, TEST),
+) -> DataFrame:
     """``observed_distances``, and the same after permuting the individuals of each year.
 
-    Each position is counted for its own individual and for the drawn one, so the
-    sample is computed once.
+    Each position is counted for its own individual and for the drawn one, so the sample is computed once. An
+    area's positions are sent once for every ``REPLICATES_PER_TASK`` replicates, which a task draws, orders and
+    sums: what is shuffled grows with the rows and not with the replicates. Areas above ``rows_per_task`` rows
+    are permuted as rows, in slices (``permute_within_year``).
     """
-    owners = F.array(
-        F.struct(F.lit(TRUTH).alias("type"), F.col("individual_id").alias("owner")),
-        F.struct(F.lit(TEST).alias("type"), F.col("drawn_id").alias("owner")),
-    )
+    whole, large = _split(positions(curated), ["area"], rows_per_task)
+    step = F.sequence(F.lit(1), F.lit(replicates), F.lit(REPLICATES_PER_TASK))
+    dealt = whole.withColumn("first", F.explode(step))
+    tasks = len(fv.STOCKS) * -(-replicates // REPLICATES_PER_TASK)
+    in_tasks = _sums_in_tasks(dealt, ["area", "first"], tasks, replicates, REPLICATES_PER_TASK, [*types], seed, radius)
+    owners = {TRUTH: F.col("individual_id"), TEST: F.col("drawn_id")}
+    owned = F.array(*[F.struct(F.lit(kind).alias("type"), owners[kind].alias("owner")) for kind in types])
     points = (
-        permute_within_year(positions(curated), replicates, seed)
-        .select("area", "rep", "year", "lat", "lon", F.inline(owners))
+        permute_within_year(large, replicates, seed)
+        .select("area", "rep", "year", "lat", "lon", F.inline(owned))
         .withColumnRenamed("owner", "individual_id")
     )
-    return _replicate_means(points)
+    return _replicate_means(in_tasks, points, radius)
 
 
 def movement_test(distances: DataFrame) -> DataFrame:
