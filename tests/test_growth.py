@@ -7,8 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tideline.functions import bulk_draws, draws
-from tideline.operators import models, movement, recapture
+from tideline.operators import models, movement, recapture, sampling
 from tideline.plans import reports
+from tideline.plans.queries import queries
 
 
 def test_weights_are_not_broadcast(spark):
@@ -78,3 +79,17 @@ def test_resamples_in_tasks_are_those_of_rows(spark):
     assert [c[:2] for c in got.dtypes] == [c[:2] for c in want.dtypes]
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
     assert "MapInArrow" in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_random_sampling_is_drawn(spark):
+    """Every individual of every cohort is drawn: whole numbers that add up, near their expectation, text NA too."""
+    params = spark.createDataFrame([("a", 6, 3000), ("NA", 1, 7), ("b", 3, 0)], "area string, n_occasions long, n_original long")
+    drawn = {(r.area, r.value): r.n for r in sampling.random_years(params, "area").collect()}
+    expected = {(r.area, r.value): r.n for r in sampling.expected_years(params, "area").collect()}
+    assert drawn[("NA", 1)] == 7 and sum(n for (area, _), n in drawn.items() if area == "a") == 15000
+    assert all(isinstance(n, int) for n in drawn.values()) and drawn != expected
+    assert all(abs(n - expected[k]) < 5 * expected[k] ** 0.5 + 1 for k, n in drawn.items())
+
+
+def test_sample_has_three_replicates(spark, sf_dir):
+    assert {r.rep for r in queries()["sample_one_per_key"](spark, sf_dir).select("rep").distinct().collect()} == {1, 2, 3}
