@@ -6,10 +6,12 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from tideline import fixed_values as fv
 from tideline.functions import bulk_draws, draws
-from tideline.operators import models, movement, recapture, sampling
+from tideline.operators import models, movement, recapture, sampling, trend
 from tideline.plans import reports
 from tideline.plans.queries import queries
+from tideline.plans.study import Study
 
 
 def test_weights_are_not_broadcast(spark):
@@ -81,6 +83,51 @@ def test_resamples_in_tasks_are_those_of_rows(spark):
     assert "MapInArrow" in got._jdf.queryExecution().optimizedPlan().toString()
 
 
+class RowsPerReplicate(Study):
+    """Resamples made as rows, one per individual and replicate."""
+
+    def abundance_replicates(self):
+        years = self.individual_years()
+        rep = F.explode(F.sequence(F.lit(1), F.lit(self.bootstrap_replicates))).alias("rep")
+        u = draws.uniform(fv.SEED, "bootstrap", F.col("rep"), F.col("area"), F.col("individual_id"))
+        statistics = recapture.occasion_statistics(years.select("*", rep), ("area", "rep"), draws.poisson_one(u))
+        return recapture.jolly_seber(statistics, ("area", "rep"))
+
+
+@pytest.mark.parametrize(
+    "build",
+    [
+        Study.abundance_covariance,
+        Study.corrected_abundance,
+        reports.abundance,
+        lambda s: trend.annual_growth(s.corrected_abundance()),
+        lambda s: trend.mean_growth(trend.annual_growth(s.corrected_abundance())),
+        lambda s: trend.trend_interval_stock(s.abundance_draws()),
+    ],
+    ids=["bootstrap_covariance", "corrected_abundance", "report_abundance", "annual_growth", "mean_growth", "trend_interval_stock"],
+)
+def test_one_pass_of_resamples_in_tasks(spark, build):
+    """Whatever needs the covariance resamples once, inside tasks, and equals resamples made as rows."""
+    rows = spark.range(3000).selectExpr(
+        "id AS row_seq", "id * id % 997 + IF(id % 3 = 0, 1000, 0) AS individual_id",
+        "make_date(CAST(1996 + id * 7 % 11 % 6 AS INT), 6, 1) AS sight_date", "CAST(1996 + id * 7 % 11 % 6 AS INT) AS year",
+        "concat(id % 3 = 0, '-', id % 40, '-', id * 7 % 11 % 6) AS encounter_id", "IF(id % 3 = 0, 'Oahu', 'Hawaii') AS area",
+        "'I' AS island", "IF(id % 3 = 0, 21.4D, 19.5D) AS lat", "IF(id % 3 = 0, -158.0D, -156.0D) AS lon",
+        "100.0D AS depth_m", "CAST(IF(id % 5 = 0, 2, 3) AS INT) AS distinctiveness", "3 AS photo_quality",
+        "'complete' AS entry_status", "'RWB' AS source",
+    )
+    some = {"first_year": 1996, "last_year": 2001, "bootstrap_replicates": 30, "trend_replicates": 40}
+    got = build(Study.of(rows, **some))
+
+    def shown(df):
+        return sorted(str([f"{x:.9g}" if isinstance(x, float) else x for x in r]) for r in df.collect())
+
+    numbers = shown(got)
+    assert len(numbers) > 1 and "." in str(numbers) and numbers == shown(build(RowsPerReplicate.of(rows, **some)))
+    plan = got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("MapInArrow") == 1
+
+
 def test_random_sampling_is_drawn(spark):
     """Every individual of every cohort is drawn: whole numbers that add up, near their expectation, text NA too."""
     params = spark.createDataFrame([("a", 6, 3000), ("NA", 1, 7), ("b", 3, 0)], "area string, n_occasions long, n_original long")
