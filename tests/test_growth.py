@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import math
+import tracemalloc
+
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tideline import fixed_values as fv
-from tideline.functions import bulk_draws, draws
+from tideline.functions import bulk_draws, draws, file_arrays
 from tideline.operators import models, movement, recapture, sampling, trend
 from tideline.plans import reports
 from tideline.plans.queries import queries
@@ -71,6 +75,93 @@ def test_replicates_of_movement_are_made_in_tasks(spark):
     assert "FlatMapGroupsInArrow" in plan
 
 
+def test_positions_are_packed_before_they_are_sent_for_replicates(spark):
+    """What is sent once for every run of replicates are blocks, and rows are read once."""
+    plan = movement.movement_distances(sightings(spark), 1000)._jdf.queryExecution().optimizedPlan().toString()
+    names = [line.lstrip(" :+-").split(" ")[0] for line in plan.splitlines()]
+    assert names.index("FlatMapGroupsInArrow") < names.index("Generate") < names.index("MapInArrow")
+    assert "Join" not in names
+
+
+def area(positions: list[tuple], ids: pa.DataType, rows: int) -> movement._Area:
+    """Positions given as (individual, year, lat, lon), in blocks of so many rows."""
+    found = movement._Area("Oahu", 5, 6000.0)
+    types = {"individual_id": ids, "year": pa.int32(), "lat": pa.float64(), "lon": pa.float64()}
+    for i in range(0, len(positions), rows):
+        columns = zip(*positions[i : i + rows], strict=True)
+        found.add(pa.record_batch([pa.array(c, t) for c, t in zip(columns, types.values(), strict=True)], names=[*types]))
+    found.close()
+    return found
+
+
+def by_hand(positions: list[tuple], rep: int) -> dict[str, float]:
+    """The sums of one replicate, from the drawing of single keys."""
+    def draw(name, rep, *keys):
+        return bulk_draws.Draws(5, name, *[pa.array([k], pa.string() if isinstance(k, str) or k is None else None) for k in keys])
+
+    entries = {}
+    for who, year, *point in positions:
+        entries.setdefault((who, year), []).append(point)
+    picked = {e: p[int(draw("pick", rep, "Oahu", *e).uniform([rep])[0, 0] * len(p))] for e, p in entries.items()}
+    moved = {}
+    for year in {y for _, y in entries}:
+        of = [w for w, y in entries if y == year]
+        first, now = (sorted(of, key=lambda w: draw("place", r, "Oahu", year, w).order_key([r])[0, 0]) for r in (0, rep))
+        moved |= {(a, year): picked[b, year] for a, b in zip(first, now, strict=True)}
+    found = {}
+    for kind, held in (("truth", picked), ("test", moved)):
+        total = 0.0
+        for who in {w for w, _ in entries}:
+            points = [[math.radians(x) for x in p] for (w, _), p in held.items() if w == who]
+            apart = [
+                math.acos(min(1, math.sin(a[0]) * math.sin(b[0]) + math.cos(a[0]) * math.cos(b[0]) * math.cos(a[1] - b[1])))
+                for i, a in enumerate(points) for b in points[:i]
+            ]
+            total += 6000.0 * sum(apart) / len(apart) if apart else 0
+        found[kind] = total
+    return found
+
+
+@pytest.mark.parametrize("kind", [int, str, lambda i: None if i == 3 else f"{i:060d}"], ids=["number", "text", "long_and_missing"])
+def test_permuting_an_area_in_files(monkeypatch, kind):
+    """The same sums whatever the blocks, chunks and pieces, with individuals and years that go on from block to block."""
+    positions = [
+        (kind(i), 1990 + y, 20 + (i * 7 + y * 3 + k) % 11 / 3, -155 - (i * 5 + y + 2 * k) % 13 / 3)
+        for i in range(12) for y in range(6) if (i + y) % 4 or i == 5 for k in range(1 + i * y % 3 + 20 * (i == 5))
+    ]
+    ids = pa.int64() if kind is int else pa.string()
+    want = by_hand(positions, 7)
+    for rows, chunk, keys, small in ((1000, 32_768, 262_144, 1 << 18), (1, 5, 7, 0), (4, 1, 1, 0), (7, 20, 30, 0)):
+        monkeypatch.setattr(movement, "ENTRIES_AT_ONCE", chunk)
+        monkeypatch.setattr(movement, "KEYS_AT_ONCE", keys)
+        monkeypatch.setattr(file_arrays, "SMALL", small)
+        table = pa.Table.from_batches(area(positions, ids, rows).sums(5, 12, ["truth", "test"])).to_pylist()
+        assert [(r["rep"], r["n"]) for r in table if r["type"] == "test"] == [(r, 12) for r in range(5, 13)]
+        assert {r["type"]: r["km"] for r in table if r["rep"] == 7} == pytest.approx(want, rel=1e-6)
+
+
+def test_memory_of_an_area_that_is_permuted(monkeypatch):
+    """A few bytes of memory a position (13 here), where arrays of all of them took 124 besides the table itself."""
+    monkeypatch.setattr(movement, "ENTRIES_AT_ONCE", 4096)
+    monkeypatch.setattr(movement, "KEYS_AT_ONCE", 16_384)
+    monkeypatch.setattr(file_arrays, "SMALL", 1 << 14)
+    n = 600_000
+    numbers = np.arange(n)
+    tracemalloc.start()
+    found = movement._Area("Oahu", 5, 6000.0)
+    for i in range(0, n, 10_000):
+        k = numbers[i : i + 10_000]
+        found.add(pa.record_batch({
+            "individual_id": pa.array(k // 12), "year": pa.array((k % 12 // 2).astype(np.int32)),
+            "lat": pa.array(20.0 + k % 7), "lon": pa.array(-150.0 - k % 5),
+        }))
+    found.close()
+    sums = [b.to_pylist()[0]["km"] for b in found.sums(999, 999, ["truth", "test"])]
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(sums) == 2 and all(x > 0 for x in sums) and most < 40 * n, most
+
+
 def test_resamples_in_tasks_are_those_of_rows(spark):
     years = recapture.individual_years(sightings(spark).withColumn("subarea", F.lit("A")))
     reps = years.crossJoin(spark.range(1, 31).select(F.col("id").cast("int").alias("rep")))
