@@ -83,6 +83,16 @@ def test_positions_are_packed_before_they_are_sent_for_replicates(spark):
     assert "Join" not in names
 
 
+@pytest.mark.parametrize("name", ["movement_null", "movement_histogram"])
+def test_tables_are_read_once_for_the_permutation(spark, sf_dir, name):
+    """No pass over the tables counts an area's rows before, and only blocks are repeated."""
+    plan = queries()[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    names = [line.lstrip(" :+-").split(" ")[0] for line in plan.splitlines()]
+    below = names[names.index("FlatMapGroupsInArrow") :]
+    assert below.index("Generate") < below.index("MapInArrow") and "Generate" not in below[below.index("MapInArrow") :]
+    assert len([n for n in names if n.startswith("Relation")]) == 3
+
+
 def area(positions: list[tuple], ids: pa.DataType, rows: int) -> movement._Area:
     """Positions given as (individual, year, lat, lon), in blocks of so many rows."""
     found = movement._Area("Oahu", 5, 6000.0)
